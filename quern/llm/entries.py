@@ -45,3 +45,25 @@ def op4_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "store")
     write_store(documents(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
     return read_store(spark, path, with_ids=False)
+
+
+@query()
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op01_mixing import mix_by_rank
+
+    return mix_by_rank(documents(spark, sf_dir), weights=(5, 2, 1), cap=3)
+
+
+@query()
+def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op03_quality_rules import judge
+
+    return judge(documents(spark, sf_dir))
+
+
+@query()
+def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op05_quality_classifier import score, train
+
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), threshold=0.3)
