@@ -39,12 +39,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quern.llm.op04_store import read_store, write_store
+    from quern.llm.op04_store import read_checksums, write_store
     from quern.session import new_path
 
     path = new_path(spark, "store")
     write_store(documents(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
-    return read_store(spark, path, with_ids=False)
+    return read_checksums(spark, path)
 
 
 @query()
@@ -67,3 +67,17 @@ def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), threshold=0.3)
+
+
+@query()
+def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op07_multiset_hash import with_neighbours
+
+    return with_neighbours(documents(spark, sf_dir))
+
+
+@query()
+def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op08_simhash import groups
+
+    return groups(documents(spark, sf_dir))
