@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.pieces import PieceEncoder
+from quern.llm.pieces import encoder as piece_encoder
 from quern.session import materialise, spread
 
 #: Pieces of a group; also what one task holds at once (some tens of bytes each).
@@ -137,7 +137,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     schema = f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches):
-        encoder = PieceEncoder(tokenizer)
+        encoder = piece_encoder(tokenizer)
         end = np.array([end_id], "<u4")
         for batch in batches:
             who, cols = [], [[] for _ in fields]

@@ -9,11 +9,12 @@ encoded turns most of the work into look-ups, and only new pieces reach the libr
 from __future__ import annotations
 
 import json
+from functools import cache
 from itertools import repeat
 
 import numpy as np
 
-#: Pieces that a worker keeps; beyond it the dictionary starts afresh.
+#: Pieces that a worker keeps; beyond it those met once make room.
 CACHE_PIECES = 800_000
 #: Longer pieces are encoded but not kept.
 KEEP_CHARS = 48
@@ -54,8 +55,18 @@ class PieceEncoder:
         self.cache_pieces = cache_pieces
         self.merges, self.lead, self.fold = self._direct(path)
         self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.uint32) for m in MARKS}
+        self.heads: dict[str, np.ndarray] = {}
+        self.widths = self._widths() if self.merges is not None else None
         self._reset()
 
+    def _widths(self) -> np.ndarray:
+        """Bytes of each token's text."""
+        suffix = self.merges.model.end_of_word_suffix or ""
+        out = np.zeros(max(self.merges.get_vocab().values()) + 1, np.int64)
+        for token, i in self.merges.get_vocab().items():
+            out[i] = len(token) - (len(suffix) if suffix and token.endswith(suffix) else 0)
+        return out
+
     @staticmethod
     def _direct(path: str):
         """The merges alone, where the rest of the tokenizer is of one of the two kinds known to
@@ -80,7 +91,22 @@ class PieceEncoder:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.n = 0
+        self.hits, self.n = np.zeros(1 << 12, np.int32), 0
+
+    def _trim(self) -> None:
+        """Keep the pieces that were met again, half of the limit at most."""
+        hits = self.hits[: self.n]
+        keep = hits > 1
+        if keep.sum() > self.cache_pieces // 2:
+            keep = hits > np.partition(hits, -(self.cache_pieces // 2))[-(self.cache_pieces // 2)]
+        old = [(p, k) for p, k in self.index.items() if k >= 0 and keep[k]]
+        was = np.array([k for _, k in old], np.int64)
+        ids, n = self._gather(was)
+        hits = hits[was] // 2
+        self._reset()
+        if old:
+            self._add([p for p, _ in old], ids.copy(), n)
+            self.hits[: self.n] = hits
 
     def _add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         """Keep the ids of ``keys``, laid end to end."""
@@ -90,6 +116,7 @@ class PieceEncoder:
         while self.n + k > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         self.flat[self.used : self.used + n] = ids
         self.lengths[self.n : self.n + k] = lengths
         self.starts[self.n : self.n + k] = self.used + np.cumsum(lengths) - lengths
@@ -126,8 +153,11 @@ class PieceEncoder:
         cores = list(plain)
         for at in range(0, len(cores), 4000):
             part = cores[at : at + 4000]
-            text = "\n".join([self.lead + (c if c.isascii() else c.encode().decode("latin-1").translate(BYTE_CHARS)) for c in part])
-            self._add_encoded(part, self.merges.encode(text, add_special_tokens=False))
+            laid = [self.lead + (c if c.isascii() else c.encode().decode("latin-1").translate(BYTE_CHARS)) for c in part]
+            ids = np.array(self.merges.encode_batch_fast(["\n".join(laid)], add_special_tokens=False)[0].ids, np.uint32)
+            # The tokens' widths say where each word ends.
+            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(c) for c in laid])) + 1
+            self._add(part, ids, np.diff(ends, prepend=0))
         for mark, part in marked.items():
             if part:
                 ids, n = self._gather(np.fromiter((index[p[:-1]] for p in part), np.int64, len(part)))
@@ -152,7 +182,7 @@ class PieceEncoder:
 
     def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > self.cache_pieces:
-            self._reset()
+            self._trim()
         if self.fold:
             texts = [t.lower() if t and (t.isascii() or _latin(t)) else t for t in texts]
         split = [t.split(" ") if t else [""] for t in texts]
@@ -167,6 +197,9 @@ class PieceEncoder:
             for p in fresh:
                 if len(p) > KEEP_CHARS:
                     del self.index[p]
+        if len(k):
+            found = np.bincount(np.maximum(k, 0), minlength=self.n)
+            self.hits[: self.n] += found[: self.n].astype(np.int32)
         pieces = np.fromiter((len(s) - 1 for s in split), np.int64, len(split))
         ids, n = self._gather(np.maximum(k, 0)) if len(k) and self.n else (np.zeros(0, np.uint32), np.zeros(len(k), np.int64))
         stops = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(pieces)])].tolist()
@@ -179,5 +212,33 @@ class PieceEncoder:
             elif unsafe[i + 1] > unsafe[i] or not h or h[0].isspace() or h[-1].isspace():
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
             else:
-                out.append(np.concatenate([np.array(self.tokenizer.encode(h, add_special_tokens=False).ids, np.uint32), ids[stops[i] : stops[i + 1]]]))
+                out.append(np.concatenate([self._head(h), ids[stops[i] : stops[i + 1]]]))
         return out
+
+    def _head(self, piece: str) -> np.ndarray:
+        if (ids := self.heads.get(piece)) is None:
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32)
+            if len(piece) <= KEEP_CHARS:
+                if len(self.heads) > 50_000:
+                    self.heads.clear()
+                self.heads[piece] = ids
+        return ids
+
+
+@cache
+def encoder(path: str) -> PieceEncoder:
+    """One encoder for all tasks of a worker."""
+    return PieceEncoder(path)
+
+
+def parts(batch, column: int, size: int = 4 << 20):
+    """Slices of an Arrow batch whose texts have about ``size`` bytes together, so that what is made of a slice stays small."""
+    import pyarrow.compute as pc
+
+    n = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64)))
+    start = 0
+    while start < batch.num_rows:
+        done = n[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(n, done + size, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
