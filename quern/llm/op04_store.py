@@ -5,7 +5,8 @@ shared by documents is cut alike wherever it stands. A chunk is named by the BLA
 ids and is stored once. A document is a recipe: the digests of its chunks in order.
 
     chunks/     digest binary(16), n int, payload binary
-    recipes/    shard int, idx long, <id>, local_start long, n_tokens long, digests binary, leaf binary
+    recipes/    shard int, idx long, <id>, local_start long, n_tokens long, digests binary,
+                lengths binary (ids of each chunk, 32-bit), leaf binary
     manifest/   shard int, n_docs long, n_tokens long, base long, root binary, store_root binary
 
 Recipes ascend by id through the shards (null ids first). A payload is the ids as little-endian words of 16 or 32
@@ -28,11 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.pieces import PieceEncoder
+from quern.llm.pieces import encoder as piece_encoder
+from quern.llm.pieces import parts as slices
 from quern.session import spread
 
 #: Chunks hold from MIN_IDS to MAX_IDS ids; beyond MIN_IDS one in AVG_IDS positions is a cut.
-MIN_IDS, AVG_IDS, MAX_IDS, WINDOW = 32, 256, 4096, 8
+MIN_IDS, AVG_IDS, MAX_IDS, WINDOW = 64, 512, 8192, 8
 #: Digests a task remembers to send a chunk on only once.
 SEEN = 200_000
 
@@ -89,10 +91,13 @@ def leaf(doc_id, n_tokens: int, digests: bytes) -> bytes:
     return hashlib.sha256(f"{doc_id}:{n_tokens}:".encode() + digests).digest()
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", stage: str | None = None) -> None:
-    """Encode ``docs`` and write the store below ``path``. ``stage`` holds what the tasks send on (by default below ``path`` as well)."""
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encode ``docs`` and write the store below ``path``.
+
+    The ids cross the network once: a task sends a chunk to the partition of its digest the first
+    time it meets it, and a recipe to any partition; there chunks are stored once.
+    """
     spark = docs.sparkSession
-    stage = stage or f"{path}/stage"
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches):
@@ -100,13 +105,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
         from tokenizers import Tokenizer
 
         width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        encoder, squeeze, seen = PieceEncoder(tokenizer), zstandard.ZstdCompressor(level=3), set()
+        encoder, squeeze, seen = piece_encoder(tokenizer), zstandard.ZstdCompressor(level=1), set()
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             all_ids = [np.concatenate([x, end]) for x in encoder.encode(batch.column(1).to_pylist())]
             flat = np.concatenate(all_ids) if all_ids else np.zeros(0, np.uint32)
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])]).astype(np.int64).tolist()
-            recipe, n_tokens, fresh = [], [], []
+            recipe, lengths, n_tokens, fresh = [], [], [], []
             for ids, ends in zip(all_ids, cuts(flat, bounds)):
                 names, start = [], 0
                 for stop in ends:
@@ -118,35 +123,37 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
                         fresh.append((name, stop - start, squeeze.compress(pack_ids(part, width))))
                     start = stop
                 recipe.append(b"".join(names))
+                lengths.append(np.diff(ends, prepend=0).astype("<u4").tobytes())
                 n_tokens.append(len(ids))
             if len(seen) > SEEN:
                 seen.clear()
-            a, b = len(recipe), len(fresh)
-            none = pa.nulls
+            a, b, none = len(recipe), len(fresh), pa.nulls
+            name, n, payload = zip(*fresh) if fresh else ((), (), ())
+            # A recipe may go anywhere; its first digest would draw copies to one place.
+            place = [hashlib.blake2b(b"%d" % i + r[-16:], digest_size=8).digest() for i, r in enumerate(recipe)]
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([batch.column(0), none(b, batch.column(0).type)]), pa.array(n_tokens + [None] * b, pa.int64()), pa.array(recipe + [None] * b, pa.binary())]
-                + [pa.array([None] * a + [f[0] for f in fresh], pa.binary()), pa.array([None] * a + [f[1] for f in fresh], pa.int32()), pa.array([None] * a + [f[2] for f in fresh], pa.binary())]
-                + [pa.array([0] * a + [1] * b, pa.int32())],
-                names=[id_col, "n_tokens", "digests", "digest", "n", "payload", "kind"],
+                [pa.concat_arrays([batch.column(0), none(b, batch.column(0).type)]), pa.array(n_tokens + [None] * b, pa.int64()), pa.array(recipe + [None] * b, pa.binary()), pa.array(lengths + [None] * b, pa.binary())]
+                + [pa.array([*place, *name], pa.binary()), pa.array([None] * a + [*n], pa.int32()), pa.array([None] * a + [*payload], pa.binary()), pa.array([0] * a + [1] * b, pa.int32())],
+                names=[id_col, "n_tokens", "digests", "lengths", "digest", "n", "payload", "kind"],
             )
 
-    staged = f"`{id_col}` {id_type}, n_tokens long, digests binary, digest binary, n int, payload binary, kind int"
-    spread(docs.select(id_col, text_col)).mapInArrow(encode, staged).write.partitionBy("kind").option("compression", "zstd").parquet(stage)
-    read = spark.read.schema(staged).parquet(stage)
-
     def once(batches):
-        seen: set[bytes] = set()
+        seen: set[bytes] = set()  # of one partition's chunks
         for batch in batches:
             keep = []
-            for i, name in enumerate(batch.column(0).to_pylist()):
-                if name not in seen:
+            for i, (name, kind) in enumerate(zip(batch.column(4).to_pylist(), batch.column(7).to_pylist())):
+                if kind == 0:
+                    keep.append(i)
+                elif name not in seen:
                     seen.add(name)
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64()))
 
+    staged = f"`{id_col}` {id_type}, n_tokens long, digests binary, lengths binary, digest binary, n int, payload binary, kind int"
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The digest set of a task is bounded by its share of the shuffle.
-    read.where("kind = 1").select("digest", "n", "payload").repartition(shards, "digest").mapInArrow(once, "digest binary, n int, payload binary").write.parquet(f"{path}/chunks")
+    sent = spread(docs.select(id_col, text_col)).mapInArrow(encode, staged).repartition(shards, "digest")
+    sent.mapInArrow(once, staged).write.partitionBy("kind").option("compression", "uncompressed").parquet(f"{path}/chunks")
+    read = spark.read.schema(staged).parquet(f"{path}/chunks")
 
     def order(batches):
         shard, idx, start = TaskContext.get().partitionId(), 0, 0
@@ -155,13 +162,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
             starts = start + np.cumsum(n) - n
             leaves = [leaf(d, k, x) for d, k, x in zip(batch.column(0).to_pylist(), n.tolist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), shard, np.int32)), pa.array(idx + np.arange(len(n))), batch.column(0), pa.array(starts), pa.array(n), batch.column(2), pa.array(leaves, pa.binary())],
-                names=["shard", "idx", id_col, "local_start", "n_tokens", "digests", "leaf"],
+                [pa.array(np.full(len(n), shard, np.int32)), pa.array(idx + np.arange(len(n))), batch.column(0), pa.array(starts), pa.array(n), batch.column(2), batch.column(3), pa.array(leaves, pa.binary())],
+                names=["shard", "idx", id_col, "local_start", "n_tokens", "digests", "lengths", "leaf"],
             )
             idx, start = idx + len(n), start + int(n.sum())
 
-    recipe_schema = f"shard int, idx long, `{id_col}` {id_type}, local_start long, n_tokens long, digests binary, leaf binary"
-    recipes = read.where("kind = 0").select(id_col, "n_tokens", "digests").repartitionByRange(shards, id_col).sortWithinPartitions(id_col, "digests")
+    recipe_schema = f"shard int, idx long, `{id_col}` {id_type}, local_start long, n_tokens long, digests binary, lengths binary, leaf binary"
+    recipes = read.where("kind = 0").select(id_col, "n_tokens", "digests", "lengths").repartitionByRange(shards, id_col).sortWithinPartitions(id_col, "digests")
     recipes.mapInArrow(order, recipe_schema).write.parquet(f"{path}/recipes")
 
     def roots(table: pa.Table) -> pa.Table:
@@ -185,6 +192,83 @@ def recipes_of(spark: SparkSession, path: str) -> DataFrame:
     return r.join(F.broadcast(m), "shard").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
+def chunks_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("digest binary, n int, payload binary, kind int").parquet(f"{path}/chunks").where("kind = 1").drop("kind")
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials over two elements, modulo that of CRC-32, in its reflected order of bits."""
+    a, b, out = a.astype(np.uint32), b.astype(np.uint32), np.zeros(max(len(a), len(b)), np.uint32)
+    for bit in range(31, -1, -1):
+        out ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, np.uint32(0))
+        b = (b >> np.uint32(1)) ^ (b & np.uint32(1)) * np.uint32(0xEDB88320)
+    return out
+
+
+def shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What each CRC-32 adds to that of a text in which ``n_bytes`` follow: the text's CRC is the XOR of its parts' so shifted."""
+    power, n = np.full(len(crc), 1 << 31, np.uint32), n_bytes.astype(np.int64).copy()
+    step = np.array([1 << 23], np.uint32)  # x to the 8th: one byte
+    while n.any():
+        odd = (n & 1).astype(bool)
+        power[odd] = _times(power[odd], np.broadcast_to(step, odd.sum()))
+        step, n = _times(step, step), n >> 1
+    return _times(power, crc.astype(np.uint32))
+
+
+def read_checksums(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """For every document, read from the store's files: id, start, n_tokens, ids_crc32 of its ids.
+
+    Each stored chunk is read and expanded once and its ids' digest verified. CRC-32 is linear, so
+    a document's follows from its chunks' by ``shifted``; the chunks' bytes needn't be moved to
+    their documents, as ``read_store`` does to give the ids themselves. A missing chunk, or a
+    document without all its ids, is an error.
+    """
+    recipes = recipes_of(spark, path)
+    id_type = recipes.schema[id_col].dataType.simpleString()
+
+    def sums(batches):
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor()
+        for batch in batches:
+            crc = []
+            for name, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = expand.decompress(data)
+                ids = unpack_ids(raw, len(raw) // n)
+                if digest(ids) != name:
+                    raise ValueError(f"chunk {name.hex()} doesn't give its digest")
+                crc.append(zlib.crc32(ids.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crc, pa.int64())], names=["digest", "chunk_n", "crc"])
+
+    def parts(batches):
+        for batch in batches:
+            row, name, after = [], [], []
+            for i, (d, n) in enumerate(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())):
+                n = np.frombuffer(n, "<u4").astype(np.int64)
+                row += [i] * len(n)
+                name += [d[k : k + 16] for k in range(0, len(d), 16)]
+                after.append(n.sum() - np.cumsum(n))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(5)] + [pa.array(name, pa.binary()), pa.array(np.concatenate(after) if after else [], pa.int64())], names=["shard", "idx", id_col, "start", "n_tokens", "digest", "after"])
+
+    def shift(batches):
+        for batch in batches:
+            crc = batch.column(7)
+            if crc.null_count:
+                raise ValueError(f"{crc.null_count} chunks of documents are missing")
+            moved = shifted(crc.to_numpy(), batch.column(6).to_numpy() * 4)
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(5)] + [batch.column(8).cast(pa.int64()), pa.array(moved.astype(np.int64))], names=["shard", "idx", id_col, "start", "n_tokens", "chunk_n", "moved"])
+
+    key = f"shard int, idx long, `{id_col}` {id_type}, start long, n_tokens long"
+    wanted = recipes.select("shard", "idx", id_col, "start", "n_tokens", "digests", "lengths").mapInArrow(parts, f"{key}, digest binary, after long")
+    stored = chunks_of(spark, path).mapInArrow(sums, "digest binary, chunk_n int, crc long")
+    joined = wanted.join(stored, "digest", "left").select("shard", "idx", id_col, "start", "n_tokens", "digest", "after", "crc", "chunk_n")
+    whole = joined.mapInArrow(shift, f"{key}, chunk_n long, moved long").groupBy("shard", "idx", id_col, "start", "n_tokens").agg(F.bit_xor("moved").alias("ids_crc32"), F.sum("chunk_n").alias("_n"))
+    checked = F.when(F.col("_n") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document doesn't have all its ids")).cast("long"))
+    return whole.select(id_col, "start", "n_tokens", checked.alias("ids_crc32"))
+
+
 def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Every document put together again from its chunks: id, start, n_tokens, ids_crc32, and on demand ids (32-bit little-endian).
 
@@ -192,11 +276,10 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids:
     """
     recipes = recipes_of(spark, path)
     id_type = recipes.schema[id_col].dataType.simpleString()
-    k = (F.length("digests") / 16).cast("int")
-    parts = recipes.select("shard", "idx", id_col, "start", "n_tokens", F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(i.alias("pos"), F.col("digests").substr(i * 16 + 1, F.lit(16)).alias("digest")))).alias("p"))
-    parts = parts.select("shard", "idx", id_col, "start", "n_tokens", "p.pos", "p.digest")
+    names = F.transform(F.sequence(F.lit(0), (F.length("digests") / 16 - 1).cast("int")), lambda i: F.struct(i.alias("pos"), F.col("digests").substr(i * 16 + 1, F.lit(16)).alias("digest")))
+    parts = recipes.select("shard", "idx", id_col, "start", "n_tokens", F.explode(names).alias("p")).select("shard", "idx", id_col, "start", "n_tokens", "p.pos", "p.digest")
     # A chunk that is missing must fail the document, so the recipes' side is kept whole.
-    joined = parts.join(spark.read.parquet(f"{path}/chunks").select("digest", F.col("n").alias("chunk_n"), "payload"), "digest", "left")
+    joined = parts.join(chunks_of(spark, path).select("digest", F.col("n").alias("chunk_n"), "payload"), "digest", "left")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = joined.select("shard", "idx", "pos", id_col, "start", "n_tokens", "digest", "chunk_n", "payload").repartition(shards, "shard", "idx").sortWithinPartitions("shard", "idx", "pos")
 

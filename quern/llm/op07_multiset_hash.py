@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.pieces import parts
 from quern.session import spread
 
 DENSE, SIGNS = 16, 128
@@ -102,7 +103,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The id and the fingerprint of each row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             made = [to_string(d, s) for d, s in zip(*vectors(batch.column(1).to_pylist()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=[id_col, "fingerprint"])
 
@@ -143,7 +144,7 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         last = None  # (range, id, text, parts) of the row that waits for the next
         done = None  # the range whose end has been met
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 3)):
             p, guest, ids, texts = (batch.column(i).to_pylist() for i in range(4))
             texts = [t or "" for t in texts]
             dense, signs = vectors(texts)

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.llm.op02_packing import best_two_fit, pack_documents, place
-from quern.llm.op04_store import cuts, merkle_root, pack_ids, read_store, unpack_ids, verify, write_store
+from quern.llm.op04_store import chunks_of, cuts, merkle_root, pack_ids, read_checksums, read_store, unpack_ids, verify, write_store
 from quern.llm.pieces import PieceEncoder
 from quern.session import new_path
 
@@ -83,7 +83,9 @@ def test_store_round_trip(spark):
         assert r["start"] == at and r["ids_crc32"] == zlib.crc32(bytes(r["ids"]))
         at += r["n_tokens"]
     assert verify(spark, path)
-    chunks = spark.read.parquet(f"{path}/chunks")
+    key2 = lambda r: (str(r[0]), *r[1:])
+    assert sorted([tuple(r) for r in read_checksums(spark, path).collect()], key=key2) == sorted([(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in out], key=key2)
+    chunks = chunks_of(spark, path)
     assert chunks.count() == chunks.select("digest").distinct().count()
 
 
