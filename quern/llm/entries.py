@@ -81,3 +81,10 @@ def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.op08_simhash import groups
 
     return groups(documents(spark, sf_dir))
+
+
+@query()
+def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op09_hmm import score
+
+    return score(documents(spark, sf_dir))
