@@ -88,3 +88,10 @@ def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.op09_hmm import score
 
     return score(documents(spark, sf_dir))
+
+
+@query()
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op10_line_dedup import report
+
+    return report(documents(spark, sf_dir))
