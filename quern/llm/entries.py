@@ -95,3 +95,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.op10_line_dedup import report
 
     return report(documents(spark, sf_dir))
+
+
+@query()
+def op6_count_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.op06_token_counts import token_counts
+
+    return token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
