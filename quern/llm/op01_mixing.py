@@ -239,3 +239,12 @@ def mix_by_rank(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
     per_source = spark.createDataFrame([(x, sizes[x], float(targets[x])) for x in sizes], "_source string, source_size long, target double")
     joined = rows.join(F.broadcast(per_source), F.expr("sources[0] <=> _source"))
     return joined.select(F.col("_doc").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", F.col("_source").alias("source_name"))
+
+
+def take_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix_by_rank`` takes it, with all its columns."""
+    # Rows with equal id and text are taken together, so that their key names both.
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col).cast("string"), F.length(text_col).cast("string"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    keyed = docs.withColumn("_key", key)
+    taken = mix_by_rank(keyed, weights, cap, seed, "_key", text_col, source_col).where("copies > 0").select(F.col("_key").alias("_taken"), F.col("copies").alias("_copies")).dropDuplicates(["_taken"])
+    return keyed.join(taken, F.col("_key") == F.col("_taken")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -158,18 +158,46 @@ def near_pairs(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return found.distinct()
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: the id, fingerprint (16 hex digits), n_near (other rows linked directly) and component_id."""
-    made = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialise(made.groupBy("fp").agg(F.count("*").alias("n"), F.min(id_col).alias("first")), "nodes")
+def _links(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From a written table of fingerprints: (fp, n_near) and (fp, label) of those that link to others; a label is a fingerprint of the component."""
+    nodes = materialise(made.groupBy("fp").agg(F.count("*").alias("n")), "nodes")
     pairs = materialise(near_pairs(nodes), "pairs")
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     linked = both.join(nodes.select(F.col("fp").alias("v"), "n"), "v").groupBy("u").agg(F.sum("n").alias("others"))
-    label = components(pairs)
-    named = label.join(nodes.select(F.col("fp").alias("node"), "first"), "node")
-    least = named.groupBy("label").agg(F.min("first").alias("component"))
-    comp = label.join(least, "label").select(F.col("node").alias("fp"), "component")
-    per_node = nodes.join(linked.withColumnRenamed("u", "fp"), "fp", "left").join(comp, "fp", "left")
-    per_node = per_node.select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), F.coalesce("component", "first").alias("component_id"))
-    out = made.join(per_node, "fp")
-    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+    counted = nodes.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
+    return counted, components(pairs).withColumnRenamed("node", "fp")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row: the id, fingerprint (16 hex digits), n_near (other rows linked directly) and component_id."""
+    made = materialise(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "_id"), "fingerprints")
+    counted, labels = _links(made)
+    first = made.groupBy("fp").agg(F.min("_id").alias("first")).join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    first = materialise(first, "labelled")
+    least = first.groupBy("label").agg(F.min("first").alias("component_id"))
+    per_node = first.join(least, "label").select("fp", "component_id").join(counted, "fp")
+    return made.join(per_node, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of each component with the smallest id (null last; of equal ids the text with the smallest hash). All columns stay."""
+    hashed = docs.withColumn("_th", F.xxhash64(F.col(text_col)))
+
+    def run(batches):
+        for batch in batches:
+            made = np.array([simhash(t) for t in batch.column(2).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], names=["_id", "_th", "fp"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    made = materialise(spread(hashed.select(id_col, "_th", text_col)).mapInArrow(run, f"_id {id_type}, _th long, fp long"), "fingerprints")
+    _, labels = _links(made)
+    order = F.struct(F.col("_id").isNull().alias("o"), F.col("_id").alias("i"), F.col("_th").alias("t"))
+    per_fp = made.groupBy("fp").agg(F.min(order).alias("first")).join(labels, "fp", "left")
+    chosen = materialise(per_fp.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.i").alias("_ki"), F.col("first.t").alias("_kt")), "chosen")
+    same = (F.col(id_col).eqNullSafe(F.col("_ki"))) & (F.col("_th") == F.col("_kt"))
+    kept = hashed.join(chosen, same, "left_semi")
+    again = materialise(made.join(chosen, (F.col("_id").eqNullSafe(F.col("_ki"))) & (F.col("_th") == F.col("_kt")), "left_semi").groupBy("_id", "_th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_id").alias("_ki"), F.col("_th").alias("_kt")), "again")
+    if again.isEmpty():
+        return kept.drop("_th")
+    # Rows with the same id and text: one of them.
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, "_th"])).drop("_th")
