@@ -1,7 +1,7 @@
 """Token ids of whole texts with each distinct piece of text encoded once.
 
-A tokenizer's own pre-tokenisation never joins what stands before a single space with what
-follows it, when neither neighbour is white space. So a text may be cut there and the ids of
+A tokenizer's own pre-tokenisation never joins what stands before a single space or line
+break with what follows it, when neither neighbour is white space. So a text may be cut there and the ids of
 the cuts be concatenated. Natural text repeats its pieces: a dictionary of pieces already
 encoded turns most of the work into look-ups, and only new pieces reach the library.
 """
@@ -9,17 +9,20 @@ encoded turns most of the work into look-ups, and only new pieces reach the libr
 from __future__ import annotations
 
 import json
+import string
 from functools import cache
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker keeps; beyond it those met once make room.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 #: Longer pieces are encoded but not kept.
 KEEP_CHARS = 48
-#: Marks that never join a word before them.
-MARKS = ",.;:!?"
+#: Marks that never join a word before them; a run of them at a piece's end is a pre-token.
+MARKS = string.punctuation
 
 
 def _byte_chars() -> dict[int, str]:
@@ -53,8 +56,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache_pieces = cache_pieces
-        self.merges, self.lead, self.fold = self._direct(path)
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.uint32) for m in MARKS}
+        self.merges, self.lead, self.fold = self._direct(path, self.tokenizer)
+        self.marks: dict[str, np.ndarray] = {}
         self.heads: dict[str, np.ndarray] = {}
         self.widths = self._widths() if self.merges is not None else None
         self._reset()
@@ -68,7 +71,7 @@ class PieceEncoder:
         return out
 
     @staticmethod
-    def _direct(path: str):
+    def _direct(path: str, tokenizer):
         """The merges alone, where the rest of the tokenizer is of one of the two kinds known to
         leave a Latin word in one part; otherwise None, and every piece goes the whole way."""
         from tokenizers import Tokenizer, pre_tokenizers
@@ -83,7 +86,7 @@ class PieceEncoder:
         word_ends = lower and bool(spec["model"].get("end_of_word_suffix")) and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
         if not (byte_level or word_ends):
             return None, "", False
-        bare = Tokenizer(Tokenizer.from_file(path).model)
+        bare = Tokenizer(tokenizer.model)  # the same merges in memory
         bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
         return bare, "\u0120" if byte_level else "", lower
 
@@ -134,22 +137,26 @@ class PieceEncoder:
         words = np.array(encoding.word_ids, np.float64)  # None becomes nan, which no key counts
         self._add(keys, np.array(encoding.ids, np.uint32), np.bincount(words[~np.isnan(words)].astype(np.int64), minlength=len(keys)))
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode new pieces. A word of Latin letters, alone or before one punctuation mark, is
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces. A word of Latin letters, alone or before punctuation, is
         a pre-token by itself and goes straight to the merges; others take the whole way."""
-        index, plain, marked, rest = self.index, {}, {m: [] for m in MARKS}, []
+        index, plain, marked, rest, breaks = self.index, {}, {}, [], []
         direct = self.merges is not None
         for p in pieces:
             if direct and p.isalpha() and (p.isascii() or max(p) < "\u0130"):
                 plain[p] = None
-            elif direct and p[-1:] in marked and (c := p[:-1]).isalpha() and (c.isascii() or max(c) < "\u0130"):
-                marked[p[-1]].append(p)
+            elif direct and len(c := p.rstrip(MARKS)) < len(p) and c.isalpha() and (c.isascii() or max(c) < "\u0130"):
+                marked.setdefault(p[len(c) :], []).append(p)
                 if c not in index:
                     plain[c] = None
-            elif not p or p[0].isspace() or p[-1].isspace():
+            elif not p or p[-1].isspace():
                 index[p] = -1
-            else:
+            elif not p[0].isspace():
                 rest.append(p)
+            elif p[0] == "\n" and not p[1].isspace():
+                breaks.append(p)
+            else:
+                index[p] = -1
         cores = list(plain)
         for at in range(0, len(cores), 4000):
             part = cores[at : at + 4000]
@@ -159,13 +166,16 @@ class PieceEncoder:
             ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(c) for c in laid])) + 1
             self._add(part, ids, np.diff(ends, prepend=0))
         for mark, part in marked.items():
-            if part:
-                ids, n = self._gather(np.fromiter((index[p[:-1]] for p in part), np.int64, len(part)))
-                m = self.marks[mark]
-                self._add(part, np.insert(ids, np.repeat(np.cumsum(n), len(m)), np.tile(m, len(part))), n + len(m))
-        for at in range(0, len(rest), 1000):
-            part = rest[at : at + 1000]
-            self._add_encoded(part, self.tokenizer.encode([" " + p for p in part], add_special_tokens=False, is_pretokenized=True))
+            if (m := self.marks.get(mark)) is None:
+                m = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, np.uint32)
+                if len(mark) <= KEEP_CHARS and len(self.marks) < 50_000:
+                    self.marks[mark] = m
+            ids, n = self._gather(np.fromiter((index[p[: -len(mark)]] for p in part), np.int64, len(part)))
+            self._add(part, np.insert(ids, np.repeat(np.cumsum(n), len(m)), np.tile(m, len(part))), n + len(m))
+        for lead, whole in ((" ", rest), ("", breaks)):
+            for at in range(0, len(whole), 1000):
+                part = whole[at : at + 1000]
+                self._add_encoded(part, self.tokenizer.encode([lead + p for p in part], add_special_tokens=False, is_pretokenized=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """An array of ids (uint32) for each text."""
@@ -173,7 +183,7 @@ class PieceEncoder:
         at = 0
         while at < len(texts):
             stop, size = at, 0
-            while stop < len(texts) and size < 1 << 20:  # about a million characters at a time
+            while stop < len(texts) and size < 1 << 23:  # about eight million characters at a time
                 size += len(texts[stop] or "")
                 stop += 1
             out.extend(self._encode(texts[at:stop]))
@@ -185,31 +195,38 @@ class PieceEncoder:
             self._trim()
         if self.fold:
             texts = [t.lower() if t and (t.isascii() or _latin(t)) else t for t in texts]
-        split = [t.split(" ") if t else [""] for t in texts]
-        # The first piece has no space before it, so it is encoded by itself.
-        rest = [p for s in split for p in s[1:]]
-        k = np.fromiter(map(self.index.get, rest, repeat(-2)), np.int64, len(rest))
+        # A single line break between words begins a piece of its own: no pre-token spans it.
+        cut = pc.split_pattern(pa.array([t.replace("\n", " \n") if t else "" for t in texts], pa.large_string()), " ")
+        # Arrow numbers the different pieces, so that each is looked up once.
+        coded = cut.flatten().dictionary_encode()
+        code, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        k = np.fromiter(map(self.index.get, pieces, repeat(-2)), np.int64, len(pieces))
         missing = np.flatnonzero(k == -2).tolist()
         if missing:
-            fresh = {rest[i] for i in missing}
+            fresh = [pieces[i] for i in missing]
             self._learn(fresh)
-            k[missing] = [self.index[rest[i]] for i in missing]
+            k[missing] = [self.index[p] for p in fresh]
             for p in fresh:
                 if len(p) > KEEP_CHARS:
                     del self.index[p]
-        if len(k):
-            found = np.bincount(np.maximum(k, 0), minlength=self.n)
-            self.hits[: self.n] += found[: self.n].astype(np.int32)
-        pieces = np.fromiter((len(s) - 1 for s in split), np.int64, len(split))
-        ids, n = self._gather(np.maximum(k, 0)) if len(k) and self.n else (np.zeros(0, np.uint32), np.zeros(len(k), np.int64))
-        stops = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(pieces)])].tolist()
-        unsafe = np.concatenate([[0], np.cumsum(k < 0)])[np.concatenate([[0], np.cumsum(pieces)])].tolist()
+        known = k >= 0
+        self.hits[k[known]] += np.bincount(code, minlength=len(k))[known].astype(np.int32)
+        bounds = cut.offsets.to_numpy()
+        k = k[code]
+        # The first piece has no space before it, so it is encoded by itself.
+        k[bounds[:-1]] = -3
+        used = k >= 0
+        n = np.zeros(len(k), np.int64)
+        ids, n[used] = self._gather(k[used]) if used.any() else (np.zeros(0, np.uint32), 0)
+        stops = np.concatenate([[0], np.cumsum(n)])[bounds].tolist()
+        unsafe = np.concatenate([[0], np.cumsum(k == -1)])[bounds].tolist()
         out = []
-        for i, (t, s) in enumerate(zip(texts, split)):
-            h = s[0]
+        for i, t in enumerate(texts):
             if not t:
                 out.append(np.zeros(0, np.uint32))
-            elif unsafe[i + 1] > unsafe[i] or not h or h[0].isspace() or h[-1].isspace():
+                continue
+            h = pieces[code[bounds[i]]]
+            if unsafe[i + 1] > unsafe[i] or not h or h[0].isspace() or h[-1].isspace():
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
             else:
                 out.append(np.concatenate([self._head(h), ids[stops[i] : stops[i + 1]]]))
@@ -233,8 +250,6 @@ def encoder(path: str) -> PieceEncoder:
 
 def parts(batch, column: int, size: int = 4 << 20):
     """Slices of an Arrow batch whose texts have about ``size`` bytes together, so that what is made of a slice stays small."""
-    import pyarrow.compute as pc
-
     n = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64)))
     start = 0
     while start < batch.num_rows:
