@@ -38,7 +38,7 @@ EXPLICIT, CLASSES, KNOWN = 16_000, 1024, 200_000
 #: Pseudo-counts of the unigram in each state's emissions, and of each transition.
 PRIOR, MOVES = 50.0, 1.0
 #: Symbols of a block when counts are summed; ids of one recursion; words a task counts before it sends them on.
-BLOCK, TOKENS, COUNTED = 2048, 400_000, 400_000
+BLOCK, TOKENS, COUNTED = 2048, 200_000, 400_000
 
 
 def word_class(word: bytes) -> int:
@@ -98,21 +98,19 @@ def columns(docs: list[np.ndarray], who: np.ndarray, n: np.ndarray) -> tuple[np.
 
 
 def forward(model: Model, seen: np.ndarray, begin: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """The scales (probability of each symbol given those before), and on demand the scaled forward table."""
-    emit, move = model.emit, model.move
-    scale = np.empty(len(seen))
-    alpha = np.empty((len(seen), len(model.start))) if keep else None
+    """The scales (probability of each symbol given those before), and on demand the scaled forward table. In the model's own precision."""
+    move, lit = model.move, model.emit[seen]
+    scale = np.empty(len(seen), lit.dtype)
     a = None
-    for t in range(len(begin) - 1):
-        lo, hi = begin[t], begin[t + 1]
-        e = emit[seen[lo:hi]]
-        a = e * model.start if a is None else (a[: hi - lo] @ move) * e
-        c = a.sum(1)
-        a = a / c[:, None]
+    edges = begin.tolist()
+    for lo, hi in zip(edges, edges[1:]):
+        e = lit[lo:hi]
+        e *= model.start if a is None else a[: hi - lo] @ move
+        c = e.sum(1)
+        e /= c[:, None]
         scale[lo:hi] = c
-        if keep:
-            alpha[lo:hi] = a
-    return scale, alpha
+        a = e  # the table is filled in place
+    return scale, lit if keep else None
 
 
 def log10_likelihood(model: Model, docs: list[np.ndarray]) -> np.ndarray:
@@ -126,33 +124,38 @@ def log10_likelihood(model: Model, docs: list[np.ndarray]) -> np.ndarray:
 
 
 def expected(model: Model, docs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
-    """Add the documents' expected counts to ``start``, ``move`` and ``emit`` (states, symbols); returns their natural log likelihood."""
+    """Add the documents' expected counts to ``start``, ``move`` and ``emit`` (states, symbols); returns their natural log likelihood.
+
+    The recursions run in single precision, as they are scaled at each step; sums are double.
+    """
     total, k = 0.0, len(model.start)
+    m = Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+    back = np.ascontiguousarray(m.move.T)
     for who, n in side_by_side(docs):
         seen, begin = columns(docs, who, n)
-        scale, alpha = forward(model, seen, begin, True)
-        total += np.log(scale).sum()
-        # beta holds, for each position, the emission of that symbol times what follows, over its scale.
-        weight = np.empty_like(alpha)
-        gamma = np.empty_like(alpha)
+        scale, alpha = forward(m, seen, begin, True)
+        total += np.log(scale, dtype=np.float64).sum()
+        # What follows each symbol, and that times the symbol's emission over its scale.
+        beta = np.ones_like(alpha)
+        weight = m.emit[seen]
+        weight /= scale[:, None]
+        edges = begin.tolist()
         after = None
-        for t in range(len(begin) - 2, -1, -1):
-            lo, hi = begin[t], begin[t + 1]
-            b = np.ones((hi - lo, k))
+        for lo, hi in zip(edges[-2::-1], edges[:0:-1]):
             if after is not None:
-                b[: len(after)] = after @ model.move.T
-            gamma[lo:hi] = alpha[lo:hi] * b
-            after = b * model.emit[seen[lo:hi]] / scale[lo:hi, None]
-            weight[lo:hi] = after
-        start += gamma[: begin[1]].sum(0)
+                np.matmul(after, back, out=beta[lo : lo + len(after)])
+            after = weight[lo:hi]
+            after *= beta[lo:hi]
         if len(begin) > 2:
             # Each symbol but the first follows the one a position before, of the same document.
-            later = np.arange(begin[1], len(seen))
-            t = np.repeat(np.arange(1, len(begin) - 1), np.diff(begin)[1:])
-            before = later - begin[t] + begin[t - 1]
-            move += alpha[before].T @ weight[later] * model.move
+            live = np.diff(begin)
+            before = np.arange(begin[1], len(seen)) - np.repeat(live[:-1], live[1:])
+            move += (alpha[before].T @ weight[begin[1] :]).astype(np.float64) * model.move
+        alpha *= beta
+        start += alpha[: begin[1]].sum(0, dtype=np.float64)
+        by_state = np.ascontiguousarray(alpha.T)
         for s in range(k):
-            emit[s] += np.bincount(seen, weights=gamma[:, s], minlength=emit.shape[1])
+            emit[s] += np.bincount(seen, weights=by_state[s], minlength=emit.shape[1])
     return total
 
 
@@ -186,7 +189,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     n_docs = docs.where(~held_out(id_col)).count()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     N, V = total[0] + n_docs, total[1] + (n_docs > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(known).collect()  # ``known`` rows at most
+    # How many words have each count says which counts the known ones have; words at the edge, of one count, are left to the join.
+    least, held = 1 << 62, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("v")).orderBy(F.desc("n")).toLocalIterator():
+        if held + r.v > known:
+            break
+        least, held = r.n, held + r.v
+    top = counts.where(F.col("n") >= least).collect()  # ``known`` rows at most
     top.sort(key=lambda r: (-r.n, bytes(r.word)))
     words = [bytes(r.word) for r in top]
     top_n, top_class = np.array([r.n for r in top], np.float64), np.array([r.cls for r in top], np.int64)
