@@ -105,12 +105,12 @@ def route(patterns: Sequence[tuple[tuple, int]], quotas: dict, repeat_costs: Seq
 
 
 def _fill(rows: list[tuple], parts: list[tuple]) -> dict:
-    """Which source takes which row: ``parts`` (source or None, room) in turn take what fits of the rows left; at the end of what is taken, the row that comes nearest."""
+    """Which source takes which row: ``parts`` (source, room, whether it is one: else rows left over)
+    in turn take what fits of the rows left; at the end of what is taken, the row that comes nearest."""
     got, left = {}, list(range(len(rows)))
-    free = any(x is None and room > 0 for x, room in parts)
-    for at, (x, room) in enumerate(parts):
-        if x is None:
-            continue
+    wanted = [(x, room) for x, room, taken in parts if taken]
+    spare = any(not taken and room > 0 for _, room, taken in parts)
+    for at, (x, room) in enumerate(wanted):
         rest = []
         for i in left:
             if rows[i][1] <= room:
@@ -119,10 +119,9 @@ def _fill(rows: list[tuple], parts: list[tuple]) -> dict:
             else:
                 rest.append(i)
         left = rest
-        last = not any(y is not None for y, _ in parts[at + 1 :])
-        if last and left and not free:
+        if at == len(wanted) - 1 and left and not spare:
             got |= dict.fromkeys(left, x)
-        elif last and left and room > 0:
+        elif at == len(wanted) - 1 and left and room > 0:
             i = min(left, key=lambda i: (abs(rows[i][1] - room), i))
             if abs(rows[i][1] - room) < room:
                 got[i] = x
@@ -183,10 +182,10 @@ def mix(sized: DataFrame, quotas, repeat_costs: Sequence[float] = (0.0, 1.0, 3.0
             by_pass: dict[int, list] = {}
             for j, a, z, x in shares:
                 if min(z, hi) > max(a, lo):
-                    by_pass.setdefault(j, []).append((x, min(z, hi) - max(a, lo)))
+                    by_pass.setdefault(j, []).append((x, min(z, hi) - max(a, lo), True))
             for v in by_pass.values():
-                if (rest := hi - lo - sum(room for _, room in v)) > 0:
-                    v.append((None, rest))
+                if (rest := hi - lo - sum(room for _, room, _ in v)) > 0:
+                    v.append((None, rest, False))
             fills[(k, b)] = by_pass
         # Between edge buckets a pass belongs to one source, or to none.
         spans, first, lo = [], 0, 0

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.llm.op02_packing import best_two_fit, pack_documents, place
-from quern.llm.op04_store import chunks_of, cuts, merkle_root, pack_ids, read_checksums, read_store, unpack_ids, verify, write_store
+from quern.llm.op04_store import chunks_of, cuts, merkle_root, read_checksums, read_store, unpack_ids, verify, write_store
 from quern.llm.pieces import PieceEncoder
 from quern.session import new_path
 
@@ -93,7 +93,16 @@ def test_store_of_nothing_and_a_lost_chunk(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     path = new_path(spark, "t")
     write_store(empty, path, P.path("word_bpe_49k.json"), 1)
-    assert read_store(spark, path).count() == 0 and verify(spark, path)
+    assert read_store(spark, path).count() == 0 == read_checksums(spark, path).count() and verify(spark, path)
+    df, _ = docs_of(spark)
+    path, lost = new_path(spark, "t"), new_path(spark, "t")
+    write_store(df, path, P.path("word_bpe_49k.json"), 1)
+    spark.read.parquet(f"{path}/chunks").where("kind = 0 or n < 100").write.partitionBy("kind").parquet(f"{lost}/chunks")
+    for name in ("recipes", "manifest"):
+        spark.read.parquet(f"{path}/{name}").write.parquet(f"{lost}/{name}")
+    for read in (read_store, read_checksums):
+        with pytest.raises(Exception, match="missing"):
+            read(spark, lost).collect()
     assert pack_documents(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
@@ -105,5 +114,5 @@ def test_chunks_follow_content():
     chunk = lambda x, e: {x[i:j].tobytes() for i, j in zip([0, *e], e)}
     assert len(chunk(a, ends[0]) & chunk(b, ends[1])) >= len(ends[1]) // 2
     assert ends[0][-1] == len(a) and ends[1][-1] == len(b)
-    assert (unpack_ids(pack_ids(shared, 2), 2) == shared).all()
+    assert all((unpack_ids(shared.astype(f"<u{w}").tobytes(), len(shared)) == shared).all() for w in (2, 4))
     assert merkle_root([b"a", b"b", b"c"]) != merkle_root([b"a", b"c", b"b"])
