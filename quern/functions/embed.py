@@ -22,6 +22,7 @@ from quern.functions.text import sha256_id
 
 _TOO_LARGE = ("out of memory", "invalid buffer size", "context length", "maximum context", "too long", "too large")
 LEAST_CHARS = 100
+Vectors = list[list[float]]
 
 
 class Provider(ABC):
@@ -39,7 +40,7 @@ class Provider(ABC):
         return self.settings.dimensions
 
     @abstractmethod
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    def embed(self, texts: list[str]) -> Vectors:
         """A vector for each text, in order. ``TooLargeError`` asks for less at once."""
 
     def embed_query(self, text: str) -> list[float]:
@@ -49,7 +50,7 @@ class Provider(ABC):
 class HashProvider(Provider):
     """Signed feature hashing of words, of length 1; the same everywhere and without a model."""
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    def embed(self, texts: list[str]) -> Vectors:
         from quern.functions.text import terms_of
 
         out = []
@@ -111,7 +112,7 @@ class RemoteProvider(Provider):
             raise ConfigError("embedding.api_key is missing")
         self.post, self.sleep = post, sleep
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    def embed(self, texts: list[str]) -> Vectors:
         s, last = self.settings, "no attempt was made"
         for attempt in range(s.max_retries):
             wait = s.retry_delay_seconds * 2**attempt
@@ -153,7 +154,7 @@ class LocalProvider(Provider):
         if (found := self.model.get_sentence_embedding_dimension()) != settings.dimensions:
             raise EmbeddingError(f"the model has {found} dimensions, the settings {settings.dimensions}")
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    def embed(self, texts: list[str]) -> Vectors:
         try:
             return [list(map(float, v)) for v in self.model.encode(texts)]
         except RuntimeError as exc:

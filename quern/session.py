@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -70,8 +71,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files that no plan needs any more; Spark removes them when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round finds, the second lets go of
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -100,3 +103,8 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)  # the driver serves it from there
     sc._quern_shipped = True
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the intermediate tables that this process wrote to the shared folder. No result that still reads them may be in use."""
+    remove(spark, f"{shared_dir(spark)}/quern-{os.getpid()}")
