@@ -3,14 +3,18 @@
 A line is the set of its words (lower-cased A-Z). Two lines match when the Jaccard likeness of
 their sets is at least ``threshold``, a fraction. Words are ordered from rare to frequent, so that
 matching lines must share one of a few rare words at the front: the prefix filter makes the
-candidates, the positions and sizes discard most, and sets of the rest are compared whole.
+candidates; positions, sizes and 128 parities of the sets discard most, and the rest are compared
+whole.
 
-* Rarity is read from a table of fixed size, the number of lines holding words of each hash
-  bucket, counted over all lines. Words of a bucket are ordered by hash; any total order gives
-  the same matches, and this one keeps frequent words out of the prefixes.
+* Rarity is read from a table of fixed size, how often words of each hash bucket occur, counted
+  over all lines. Words of a bucket are ordered by hash; any total order gives the same matches,
+  and this one keeps frequent words out of the prefixes.
 * Equal lines (but for case) are one class from the start: classes are joined, never copies.
-* Only prefixes cross the network for all lines. Whole sets do for candidate lines alone, which a
-  bit table of fixed size picks out when the texts are read again.
+* Lines that share a word at the front meet sorted by size, so that sizes that can't match are
+  never paired; 96 parities of the sets discard nearly all others that don't match. Words too
+  frequent for one task are met in blocks, each pair of blocks apart.
+* Whole sets cross the network for candidate lines alone, which a bit table of fixed size picks
+  out when the texts are read again. A table that fills up only spares less.
 
 A line is removed if an earlier line is of its class, or any earlier line matches it, whether or
 not that one is removed. Earlier: by the id (null last), then the hash of the text, then the
@@ -25,17 +29,23 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import materialise, new_path, remove, spread
+from quern.llm.pieces import parts as slices
+from quern.session import materialise, release, spread
 
 #: Matching likeness as a fraction.
 THRESHOLD = (4, 5)
 #: Buckets of the rarity table; bits of the candidates' table.
-BUCKETS, BITS = 1 << 20, 1 << 25
-#: Lines and words a task remembers.
-SEEN, KNOWN = 300_000, 400_000
+BUCKETS, BITS = 1 << 21, 1 << 25
+#: Lines of a word that one task takes, about; and pairs looked at together.
+MEET, PAIRS = 20_000, 1 << 20
+#: Words of all candidate lines up to which their sets are broadcast (8 bytes each); beyond it pairs and sets are joined by shuffles.
+SENT = 32_000_000
+#: Classes a task remembers, and bytes of text taken at once.
+SEEN, SLICE = 300_000, 8 << 20
 _BLOCK = 1 << 14
 
 
@@ -44,109 +54,214 @@ def ceil_div(a, b):
 
 
 def probe_prefix(n, a: int, b: int):
-    """Words of a set of ``n`` that must hold one of any matching set's, if that isn't larger."""
+    """Of two matching sets each has one word among its first so many, of ``n``, that the other has among its own."""
     return n - ceil_div(a * n, b) + 1
 
 
-def index_prefix(n, a: int, b: int):
-    """As ``probe_prefix``, for sets met only by sets at least as large."""
-    return n - ceil_div(2 * a * n, a + b) + 1
+def _key(line: bytes) -> bytes:
+    """A line's class: 96 bits."""
+    from xxhash import xxh3_128_digest
 
+    return xxh3_128_digest(line)[:12]
 
-class Words:
-    """Hashes of words, each computed once while it is remembered."""
 
-    def __init__(self):
-        from xxhash import xxh3_64_intdigest
+def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The first 64 and the last 32 bits."""
+    raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 12)
+    return np.ascontiguousarray(raw[:, :8]).view("<u8").ravel(), np.ascontiguousarray(raw[:, 8:]).view("<u4").ravel()
 
-        self.hash, self.known = xxh3_64_intdigest, {}
 
-    def __call__(self, words) -> list[int]:
-        known = self.known
-        out = list(map(known.get, words))
-        if None in out:
-            if len(known) > KNOWN:
-                known.clear()
-            for i, w in enumerate(words):
-                if out[i] is None:
-                    out[i] = known[w] = self.hash(w)
-        return out
+def _joined(first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    raw = np.concatenate([first.astype("<u8").view(np.uint8).reshape(-1, 8), last.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
+    return list(map(bytes, raw))
 
 
-def _key(line: bytes) -> bytes:
-    from xxhash import xxh3_128_digest
+def _hashes(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh3_64_digest
+
+    return np.frombuffer(b"".join(map(xxh3_64_digest, words)), ">u8").astype(np.uint64)
+
+
+def _lower(texts: pa.Array) -> pa.Array:
+    # Taken anew: ascii_lower misreads slices of an array.
+    return pc.ascii_lower(pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), ""))
+
 
-    return xxh3_128_digest(line)
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lower-cased lines: how many each text has (null none), and all of them."""
+    lists = pc.split_pattern(_lower(texts), "\n")
+    n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    if not texts.null_count:
+        return n, lists.flatten()
+    there = pc.is_valid(texts)
+    return n * there.to_numpy(zero_copy_only=False), lists.filter(there).flatten()
 
 
-def _blocks(batch_rows, dtype, make: Callable, size: int):
-    """Rows (block, data) of an array summed over a task's batches, without blocks of zeros."""
+def _words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each different word, and for each word in the lines (or texts) its line and which it is."""
+    lists = pc.ascii_split_whitespace(lines)
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    line, code = np.repeat(np.arange(len(lines)), pc.list_value_length(lists).to_numpy()), coded.indices.to_numpy()
+    # White space at an end leaves an empty word.
+    if b"" in words:
+        keep = code != words.index(b"")
+        line, code = line[keep], code[keep]
+    return _hashes(words), line, code
+
+
+def _blocks(total: np.ndarray, block: int):
+    """Rows (block, data) of an array, without blocks of zeros."""
     import zlib
 
-    total = np.zeros(size, dtype)
-    for x in batch_rows:
-        make(total, x)
-    blocks = total.reshape(-1, _BLOCK)
-    at = np.flatnonzero(blocks.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in at.tolist()], pa.binary())], names=["block", "data"])
+    parts = total.view(np.uint8).reshape(-1, block)
+    at = np.flatnonzero(parts.any(1))
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in at.tolist()], pa.binary())], names=["block", "data"])
 
 
-def _merge(rows: DataFrame, dtype, size: int, combine: Callable) -> np.ndarray:
-    """The whole array: blocks are combined on the executors, and ``size`` values reach the driver."""
+def _merge(rows: DataFrame, size: int, block: int, combine: Callable) -> np.ndarray:
+    """The whole array of ``size`` bytes: tasks' blocks are combined on the executors, and one of each reaches the driver."""
     import zlib
 
     def add(table: pa.Table) -> pa.Table:
         out = None
         for d in table.column("data").to_pylist():
-            x = np.frombuffer(zlib.decompress(d), dtype)
+            x = np.frombuffer(zlib.decompress(d), np.uint8)
             out = x.copy() if out is None else combine(out, x)
         return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "data": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
-    total = np.zeros(size, dtype).reshape(-1, _BLOCK)
-    for r in rows.groupBy("block").applyInArrow(add, "block int, data binary").toLocalIterator():
-        total[r.block] = np.frombuffer(zlib.decompress(r.data), dtype)
+    total = np.zeros(size, np.uint8).reshape(-1, block)
+    for r in rows.groupBy("block").applyInArrow(add, "block int, data binary").collect():
+        total[r.block] = np.frombuffer(zlib.decompress(r.data), np.uint8)
     return total.ravel()
 
 
 def _rarity(texts: DataFrame) -> np.ndarray:
-    """For each bucket the lines (as tasks first meet them) whose sets hold a word of it, up to 65535."""
+    """For each bucket how often words of it occur."""
 
     def run(batches):
-        words = Words()
-
-        def made():
-            seen: set[bytes] = set()
-            for batch in batches:
-                held: list[int] = []
-                for text in batch.column(0).cast(pa.binary()).to_pylist():
-                    for line in (text or b"").lower().split(b"\n"):
-                        k = _key(line)
-                        if k not in seen:
-                            seen.add(k)
-                            held += words(list(set(line.split())))
-                    if len(held) > 1 << 20:
-                        yield held
-                        held = []
-                if len(seen) > SEEN:
-                    seen.clear()
-                yield held
-
-        def add(total, hashes):
-            total += np.bincount((np.array(hashes, np.uint64) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-
-        yield from _blocks(made(), np.uint32, add, BUCKETS)
-
-    return np.minimum(_merge(texts.mapInArrow(run, "block int, data binary"), np.uint32, BUCKETS, np.add), 65535).astype(np.uint16)
-
-
-def _ordered(sets: list[list[int]], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sets' hashes laid end to end, each set from rare to frequent; and their sizes."""
-    n = np.array([len(s) for s in sets], np.int64)
-    h = np.array([x for s in sets for x in s], np.uint64)
-    row = np.repeat(np.arange(len(sets)), n)
-    often = rarity[(h % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64)
-    order = np.lexsort((h, row << 16 | often))
-    return h[order].view(np.int64), n
+        rarity = np.zeros(BUCKETS, np.uint32)
+        for batch in (part for whole in batches for part in slices(whole, 0, 2 * SLICE)):
+            hashes, _, code = _words(_lower(batch.column(0)))
+            np.add.at(rarity, (hashes % np.uint64(BUCKETS)).astype(np.int64), np.bincount(code, minlength=len(hashes)).astype(np.uint32))
+        yield _blocks(rarity, _BLOCK)
+
+    def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x.view(np.uint32) + y.view(np.uint32)).view(np.uint8)
+
+    rarity = _merge(texts.mapInArrow(run, "block int, data binary"), BUCKETS * 4, _BLOCK, sums).view(np.uint32)
+    return rarity
+
+
+def _bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each numbered bit of a packed table is set."""
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
+def _ordered(hashes: np.ndarray, line: np.ndarray, code: np.ndarray, n_lines: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' sets as hashes laid end to end, each from rare to frequent; and their sizes."""
+    order = np.lexsort((hashes, rarity[(hashes % np.uint64(BUCKETS)).astype(np.int64)]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    both = np.sort(line * max(1, len(order)) + place[code])
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    line, at = np.divmod(both[new], max(1, len(order)))
+    return hashes[order][at].view(np.int64), np.bincount(line, minlength=n_lines)
+
+
+def _signs(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each set's 96 parities, (sets, 3) of 32: a bit says whether an odd number of its words fall on it. Sets that differ in d words differ in d bits at most."""
+    row = np.repeat(np.arange(len(n)), n)
+    bit = (hashes.view(np.uint64) >> np.uint64(40)).astype(np.int64) % 96
+    odd = np.bincount(row * 96 + bit, minlength=96 * len(n)) & 1
+    return np.packbits(odd.reshape(-1, 96).astype(np.uint8), axis=1).view("<u4").reshape(-1, 3)
+
+
+def _entries(hashes, n, keys, rarity, a: int, b: int) -> pa.RecordBatch:
+    """A row for each line's front word: the word's group and the class's last bits, the class's
+    first bits, the parities, and size, place and side. A frequent word's lines fall into blocks, and
+    a line goes once to each pair of blocks that holds its own; side says which of the two it is."""
+    p = probe_prefix(n, a, b)
+    row, pos = np.repeat(np.arange(len(n)), p), np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
+    word = hashes[(np.cumsum(n) - n)[row] + pos].view(np.uint64)
+    first, last = _halves(keys) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+    blocks = 1 + rarity[(word % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64) // MEET
+    at = np.repeat(np.arange(len(word)), blocks)
+    row, pos, word, blocks = row[at], pos[at], word[at], blocks[at]
+    other = np.arange(len(at)) - np.repeat(np.cumsum(np.bincount(at, minlength=0)) - np.bincount(at, minlength=0), np.bincount(at, minlength=0)) if len(at) else at
+    own = (first[row] % blocks.astype(np.uint64)).astype(np.int64)
+    side = np.where(other == own, 0, np.where(own < other, 1, 2))
+    pair = np.minimum(own, other) * (1 << 20) + np.maximum(own, other)
+    group = ((word ^ pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)
+    signs = _signs(hashes, n).astype(np.uint64)[row]
+    cols = [group << np.uint64(32) | last[row].astype(np.uint64), first[row], signs[:, 0] << np.uint64(32) | signs[:, 1], signs[:, 2], n[row].astype(np.uint64) << np.uint64(32) | side.astype(np.uint64) << np.uint64(30) | pos.astype(np.uint64)]
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names=["g", "k", "s", "t", "z"])
+
+
+def _meet(a: int, b: int):
+    """From entries sorted by g, the pairs of classes that may match: both first parts, and the last ones together."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            new = [batch.column(i).to_numpy().view(np.uint64) for i in range(5)]
+            held = new if held is None else [np.concatenate(c) for c in zip(held, new)]
+            group = held[0] >> np.uint64(32)
+            # The last group may go on in the next batch.
+            cut = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            if cut:
+                yield from pairs([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held is not None and len(held[0]):
+            yield from pairs(held)
+
+    def pairs(cols):
+        g, k, s, t, z = cols
+        group, size = (g >> np.uint64(32)).astype(np.int64), (z >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((k, g & np.uint64(0xFFFFFFFF), size, group))
+        g, k, s, t, z, group, size = (c[order] for c in (g, k, s, t, z, group, size))
+        # A class that several tasks met stands beside itself.
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
+        g, k, s, t, z, group, size = (c[new] for c in (g, k, s, t, z, group, size))
+        side, pos = (z >> np.uint64(30) & np.uint64(3)).astype(np.int64), (z & np.uint64((1 << 30) - 1)).astype(np.int64)
+        width = int(size.max()) * b // a + 1
+        number = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+        key = number * (width + 1) + size
+        end = np.searchsorted(key, number * (width + 1) + size * b // a, side="right")
+        n = end - np.arange(len(g)) - 1
+        total = np.cumsum(n)
+        start = 0
+        while start < len(n):
+            done = total[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, done + PAIRS, side="right")))
+            m = n[start:stop]
+            i = np.repeat(np.arange(start, stop), m)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+            start = stop
+            least = -(-a * (size[i] + size[j]) // (a + b))
+            differ = np.bitwise_count(s[i] ^ s[j]).astype(np.int64) + np.bitwise_count(t[i] ^ t[j])
+            use = differ <= size[i] + size[j] - 2 * least
+            i, j, least = i[use], j[use], least[use]
+            room = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
+            use = (room >= least) & ((side[i] == 0) | (side[i] != side[j]))
+            i, j = i[use], j[use]
+            if len(i):
+                low = np.uint64(0xFFFFFFFF)
+                swap = (k[i] > k[j]) | ((k[i] == k[j]) & ((g[i] & low) > (g[j] & low)))
+                x, y = np.where(swap, j, i), np.where(swap, i, j)
+                last = (g[x] & low) << np.uint64(32) | g[y] & low
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (k[x], k[y], last)], names=["p", "q", "r"])
+
+    return run
+
+
+def _named(batches):
+    """The classes of pairs in their short form."""
+    for batch in batches:
+        p, q, r = (c.to_numpy().view(np.uint64) for c in batch.columns)
+        yield pa.RecordBatch.from_arrays([pa.array(_joined(p, (r >> np.uint64(32)).astype(np.uint32)), pa.binary()), pa.array(_joined(q, (r & np.uint64(0xFFFFFFFF)).astype(np.uint32)), pa.binary())], names=["x", "y"])
 
 
 def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -155,7 +270,7 @@ def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Written tables: the documents (_id, _th, n_lines), lines with words (_id, _th, line, k), and
-    matching classes (x, y, each pair once), and the lines' classes (k, n, first). ``k`` is a class, 16 bytes."""
+    matching classes (x, y, each pair once), and the lines' classes (k, n, first). ``k`` is a class, 12 bytes."""
     from pyspark.sql.functions import xxhash64
 
     spark = docs.sparkSession
@@ -163,96 +278,84 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     id_type = docs.schema[id_col].dataType.simpleString()
     source = spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     texts = source.select("_text")
-    rarity = spark.sparkContext.broadcast(_rarity(texts))  # BUCKETS numbers of 16 bits
+    table = spark.sparkContext.broadcast(_rarity(texts))  # BUCKETS numbers of 32 bits
 
     def lay(batches):
-        words, table, seen = Words(), rarity.value, set()
-        for batch in batches:
-            doc_row, line_no, key, n_lines = [], [], [], []
-            fresh, sets = [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                lines = [] if text is None else text.lower().split(b"\n")
-                n_lines.append(len(lines))
-                for j, line in enumerate(lines):
-                    if not line or line.isspace():
-                        continue
-                    k = _key(line)
-                    doc_row.append(i)
-                    line_no.append(j)
-                    key.append(k)
-                    if k not in seen:
-                        seen.add(k)
-                        fresh.append(k)
-                        sets.append(words(list(set(line.split()))))
+        rarity, seen = table.value, set()
+        for batch in (part for whole in batches for part in slices(whole, 0, SLICE)):
+            _, lines = _split(batch.column(0))
+            fresh, keys = [], []
+            for i, x in enumerate(lines.cast(pa.large_binary()).to_pylist()):
+                if x and not x.isspace() and (k := _key(x)) not in seen:
+                    seen.add(k)
+                    fresh.append(i)
+                    keys.append(k)
             if len(seen) > SEEN:
                 seen.clear()
-            ordered, n = _ordered(sets, table)
-            p = probe_prefix(n, a, b)
-            starts = np.cumsum(n) - n
-            take = np.repeat(starts - np.cumsum(p) + p, p) + np.arange(int(p.sum()))
-            prefix = _lists(ordered[take], p)
-            yield _rows(0, batch.column(0), batch.column(2), pa.array(n_lines, pa.int32()), None, None)
-            at = pa.array(doc_row, pa.int64())
-            yield _rows(1, batch.column(0).take(at), batch.column(2).take(at), pa.array(line_no, pa.int32()), pa.array(key, pa.binary()), None)
-            yield _rows(2, pa.nulls(len(fresh), batch.column(0).type), pa.nulls(len(fresh), pa.int64()), pa.array(n.astype(np.int32)), pa.array(fresh, pa.binary()), prefix)
-
-    def _rows(kind, ids, th, number, k, prefix):
-        n = len(ids)
-        return pa.RecordBatch.from_arrays(
-            [ids, th, number, k if k is not None else pa.nulls(n, pa.binary()), prefix if prefix is not None else pa.nulls(n, pa.list_(pa.int64())), pa.array(np.full(n, kind, np.int32))],
-            names=["_id", "_th", "number", "k", "prefix", "kind"],
-        )
+            ordered, n = _ordered(*_words(lines.take(pa.array(fresh, pa.int64()))), len(fresh), rarity)
+            yield _entries(ordered, n, keys, rarity, a, b)
 
-    schema = f"_id {id_type}, _th long, number int, k binary, prefix array<long>, kind int"
-    staged = materialise(source.select("_id", "_text", xxhash64("_text").alias("_th")).mapInArrow(lay, schema), "lines", ["kind"])
-    documents = staged.where("kind = 0").select("_id", "_th", F.col("number").alias("n_lines"))
-    lines = staged.where("kind = 1").select("_id", "_th", F.col("number").alias("line"), "k")
-    # A class met by several tasks is kept once. The prefixes alone are moved.
-    classes = staged.where("kind = 2").select("k", F.col("number").alias("size"), "prefix").dropDuplicates(["k"])
-    entries = materialise(classes.select("k", "size", F.posexplode("prefix").alias("pos", "word")), "prefixes")
-    probe = entries.select("word", F.col("k").alias("y"), F.col("size").alias("ys"), F.col("pos").alias("yp"))
-    stored = entries.where(F.expr(f"pos < size - cast(ceil({2 * a}D * size / {a + b}) as int) + 1")).select("word", F.col("k").alias("x"), F.col("size").alias("xs"), F.col("pos").alias("xp"))
-    room = "least(xp, yp) + 1 + least(xs - xp, ys - yp) - 1"
-    met = f"(xs < ys or (xs = ys and x < y)) and {b} * xs >= {a} * ys and {a + b} * ({room}) >= {a} * (xs + ys)"
-    candidates = materialise(probe.join(stored, "word").where(met).select("x", "y").distinct(), "candidates")
+    def meet() -> DataFrame:
+        entries = texts.mapInArrow(lay, "g long, k long, s long, t long, z long")
+        laid = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.shiftrightunsigned("g", 32)).sortWithinPartitions(F.shiftrightunsigned("g", 32))
+        found = laid.mapInArrow(_meet(a, b), "p long, q long, r long").distinct()
+        return materialise(found.mapInArrow(_named, "x binary, y binary"), "candidates")
 
-    def mark(batches):
-        def add(bits, keys):
-            if keys:
-                h = np.frombuffer(b"".join(keys), "<u8")[::2] % np.uint64(BITS)
-                np.bitwise_or.at(bits, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
+    candidates = meet()
+    release(spark)
 
-        yield from _blocks((batch.column(0).to_pylist() for batch in batches), np.uint8, add, BITS // 8)
+    def mark(batches):
+        bits = np.zeros(BITS // 8, np.uint8)
+        for batch in batches:
+            h = _halves(batch.column(0).to_pylist())[0] % np.uint64(BITS)
+            np.bitwise_or.at(bits, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
+        yield _blocks(bits, _BLOCK)
 
     ends = candidates.select(F.explode(F.array("x", "y")).alias("k"))
-    bits = spark.sparkContext.broadcast(_merge(ends.mapInArrow(mark, "block int, data binary"), np.uint8, BITS // 8, np.bitwise_or))
-
-    def sets_of(batches):
-        words, table, seen = Words(), bits.value, set()
-        for batch in batches:
+    bits = spark.sparkContext.broadcast(_merge(ends.mapInArrow(mark, "block int, data binary"), BITS // 8, _BLOCK, np.bitwise_or))
+
+    def note(batches):
+        hits, seen = bits.value, set()
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
+            n_lines, lines = _split(batch.column(1))
+            raw = lines.cast(pa.large_binary()).to_pylist()
+            keys = list(map(_key, raw))
+            full = np.array([bool(x) and not x.isspace() for x in raw], bool)
+            hit = _bit(hits, (_halves(keys)[0] if keys else np.zeros(0, np.uint64)) % np.uint64(BITS)) & full
             fresh, sets = [], []
-            lines = [x for t in batch.column(0).cast(pa.binary()).to_pylist() for x in (t or b"").lower().split(b"\n") if x]
-            keys = [_key(x) for x in lines]
-            h = np.frombuffer(b"".join(keys), "<u8")[::2] % np.uint64(BITS) if keys else np.zeros(0, np.uint64)
-            hit = table[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & np.uint8(1)
             for i in np.flatnonzero(hit).tolist():
                 if keys[i] not in seen:
                     seen.add(keys[i])
                     fresh.append(keys[i])
-                    sets.append(words(list(set(lines[i].split()))))
+                    sets.append(_hashes(list(set(raw[i].split()))))
             if len(seen) > SEEN:
                 seen.clear()
-            n = np.array([len(s) for s in sets], np.int64)
-            values = np.array([v for s in sets for v in s], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.binary()), _lists(values, n)], names=["k", "words"])
+            at = pa.array(np.repeat(np.arange(batch.num_rows), n_lines)[full])
+            number = (np.arange(len(raw)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines))[full]
+            own = pa.array([k for k, f in zip(keys, full.tolist()) if f], pa.binary())
+            words = _lists(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64), np.array([len(x) for x in sets], np.int64))
+            yield _rows(0, batch.column(0), batch.column(2), pa.array(n_lines.astype(np.int32)), None, None)
+            yield _rows(1, batch.column(0).take(at), batch.column(2).take(at), pa.array(number.astype(np.int32)), own, None)
+            yield _rows(2, pa.nulls(len(fresh), batch.column(0).type), pa.nulls(len(fresh), pa.int64()), pa.nulls(len(fresh), pa.int32()), pa.array(fresh, pa.binary()), words)
+
+    def _rows(kind, ids, th, number, k, words):
+        n = len(ids)
+        return pa.RecordBatch.from_arrays(
+            [ids, th, number, k if k is not None else pa.nulls(n, pa.binary()), words if words is not None else pa.nulls(n, pa.list_(pa.int64())), pa.array(np.full(n, kind, np.int32))],
+            names=["_id", "_th", "number", "k", "words", "kind"],
+        )
 
-    path = new_path(spark, "sets")
-    texts.mapInArrow(sets_of, "k binary, words array<long>").dropDuplicates(["k"]).write.option("compression", "uncompressed").parquet(path)
-    whole = spark.read.schema("k binary, words array<long>").parquet(path)
+    schema = f"_id {id_type}, _th long, number int, k binary, words array<long>, kind int"
+    staged = materialise(source.select("_id", "_text", xxhash64("_text").alias("_th")).mapInArrow(note, schema), "lines", ["kind"])
+    documents = staged.where("kind = 0").select("_id", "_th", F.col("number").alias("n_lines"))
+    lines = staged.where("kind = 1").select("_id", "_th", F.col("number").alias("line"), "k")
+    whole = materialise(staged.where("kind = 2").select("k", "words").dropDuplicates(["k"]), "sets")
+    held = whole.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    # A line may be in many pairs: while all their sets together are small, they go to the pairs.
+    whole = F.broadcast(whole) if held <= SENT else whole
     sides = candidates.join(whole.select(F.col("k").alias("x"), F.col("words").alias("xw")), "x").join(whole.select(F.col("k").alias("y"), F.col("words").alias("yw")), "y")
     shared = F.size(F.array_intersect("xw", "yw"))
     matches = materialise(sides.where((a + b) * shared >= a * (F.size("xw") + F.size("yw"))).select("x", "y"), "matches")
-    remove(spark, path)
     order = F.struct(F.col("_id").isNull().alias("o"), F.col("_id").alias("i"), F.col("_th").alias("t"), F.col("line").alias("l"))
     known = materialise(lines.groupBy("k").agg(F.count("*").alias("n"), F.min(order).alias("first")), "classes")
     return documents, lines, matches, known
@@ -266,15 +369,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = matches.unionByName(matches.select(F.col("y").alias("x"), F.col("x").alias("y")))
     near = both.join(known.select(F.col("k").alias("y"), "n", "first"), "y").groupBy("x").agg(F.min("first").alias("earliest"), F.sum("n").alias("others"))
     verdict = known.join(near.withColumnRenamed("x", "k"), "k", "left").select("k", "first", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("late"))
-    # Rows that are one document by id and text count once.
-    own = lines.distinct().join(verdict, "k")
+    own = lines.join(verdict, "k")
     copy = ~((F.col("first.i").eqNullSafe(F.col("_id"))) & (F.col("first.t") == F.col("_th")) & (F.col("first.l") == F.col("line")))
-    gone = F.col("late") | copy
-    per_doc = own.groupBy("_id", "_th").agg(
-        F.array_sort(F.collect_list(F.when(gone, F.col("line")))).alias("removed"),
-        F.sum(F.when(copy, 1).otherwise(0)).alias("n_same"),
-        F.sum(F.when(F.col("late") & ~copy, 1).otherwise(0)).alias("n_near"),
-        F.sum("n_links").alias("n_links"),
+    # A set, so that rows that are one document by id and text count once; it is as long as the document has lines.
+    held = own.groupBy("_id", "_th").agg(F.collect_set(F.struct(F.col("line").alias("l"), copy.alias("c"), F.col("late").alias("t"), F.col("n_links").alias("n"))).alias("_s"))
+    per_doc = held.select(
+        "_id",
+        "_th",
+        F.array_sort(F.transform(F.filter("_s", lambda x: x.c | x.t), lambda x: x.l)).alias("removed"),
+        F.size(F.filter("_s", lambda x: x.c)).alias("n_same"),
+        F.size(F.filter("_s", lambda x: x.t & ~x.c)).alias("n_near"),
+        F.aggregate("_s", F.lit(0).cast("long"), lambda total, x: total + x.n).alias("n_links"),
     )
     return documents, per_doc
 

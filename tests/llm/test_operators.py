@@ -400,7 +400,9 @@ def brute_lines(rows, least=0.8):
     return occ
 
 
-def test_line_dedup(spark, nothing):
+@pytest.mark.parametrize("sent", [dedup.SENT, -1])
+def test_line_dedup(spark, nothing, monkeypatch, sent):
+    monkeypatch.setattr(dedup, "SENT", sent)
     # Ids that differ, so that the order of lines is theirs.
     rows = [(i, *r[1:]) for i, r in enumerate(corpus(4))]
     out = {r.doc_id: r for r in dedup.report(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
@@ -447,7 +449,7 @@ def test_words_met_in_blocks(spark, monkeypatch):
     entries = batch.sort_by("g") if hasattr(batch, "sort_by") else batch
     order = np.argsort(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(32), kind="stable")
     entries = batch.take(pa.array(order))
-    met = {(x, y) for made in dedup._meet(4, 5)(entries.slice(i, 50) for i in range(0, entries.num_rows, 50)) for x, y in zip(made.column(0).to_pylist(), made.column(1).to_pylist())}
+    met = {(x, y) for made in dedup._named(dedup._meet(4, 5)(entries.slice(i, 50) for i in range(0, entries.num_rows, 50))) for x, y in zip(made.column(0).to_pylist(), made.column(1).to_pylist())}
     norm = lambda x, y: tuple(sorted((bytes(x), bytes(y))))
     assert {norm(*p) for p in want} <= {norm(*p) for p in met}
 
