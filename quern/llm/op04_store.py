@@ -2,15 +2,15 @@
 
 Each document's ids are cut where a rolling hash of the last ids meets a mask, so that a passage
 shared by documents is cut alike wherever it stands. A chunk is named by the BLAKE2b digest of its
-ids and is stored once. A document is a recipe: the digests of its chunks in order.
+payload and is stored once. A document is a recipe: the digests of its chunks in order.
 
     chunks/     digest binary(16), n int, payload binary
     recipes/    shard int, idx long, <id>, local_start long, n_tokens long, digests binary,
                 lengths binary (ids of each chunk, 32-bit), leaf binary
     manifest/   shard int, n_docs long, n_tokens long, base long, root binary, store_root binary
 
-Recipes ascend by id through the shards (null ids first). A payload is the ids as little-endian words of 16 or 32
-bits, byte planes apart, compressed with zstandard. ``leaf`` is the SHA-256 of a recipe, ``root``
+Recipes ascend by id through the shards (null ids first). A payload is the ids as little-endian words of 16 bits, or of 32 if
+an id needs them. ``leaf`` is the SHA-256 of a recipe, ``root``
 the Merkle root of a shard's leaves, and ``store_root`` that of all shards' roots. All three are
 Parquet tables, so that a lost executor's files are written again by the committer's rules.
 
@@ -66,16 +66,13 @@ def cuts(ids: np.ndarray, bounds: list[int]) -> list[list[int]]:
     return out
 
 
-def pack_ids(ids: np.ndarray, width: int) -> bytes:
-    return ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+def unpack_ids(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` ids of a payload, as 32-bit words."""
+    return np.frombuffer(data, f"<u{len(data) // n}").astype("<u4")
 
 
-def unpack_ids(data: bytes, width: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype("<u4")
-
-
-def digest(ids: np.ndarray) -> bytes:
-    return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=16).digest()
+def digest(payload: bytes) -> bytes:
+    return hashlib.blake2b(payload, digest_size=16).digest()
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -101,11 +98,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches):
-        import zstandard
-        from tokenizers import Tokenizer
-
-        width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        encoder, squeeze, seen = piece_encoder(tokenizer), zstandard.ZstdCompressor(level=1), set()
+        encoder = piece_encoder(tokenizer)
+        width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        seen = set()
         end = np.array([end_id], np.uint32)
         for batch in (part for whole in batches for part in slices(whole, 1)):
             all_ids = [np.concatenate([x, end]) for x in encoder.encode(batch.column(1).to_pylist())]
@@ -113,14 +108,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])]).astype(np.int64).tolist()
             recipe, lengths, n_tokens, fresh = [], [], [], []
             for ids, ends in zip(all_ids, cuts(flat, bounds)):
-                names, start = [], 0
+                names, start, data = [], 0, ids.astype(f"<u{width}").tobytes()
                 for stop in ends:
-                    part = ids[start:stop]
+                    part = data[start * width : stop * width]
                     name = digest(part)
                     names.append(name)
                     if name not in seen:
                         seen.add(name)
-                        fresh.append((name, stop - start, squeeze.compress(pack_ids(part, width))))
+                        fresh.append((name, stop - start, part))
                     start = stop
                 recipe.append(b"".join(names))
                 lengths.append(np.diff(ends, prepend=0).astype("<u4").tobytes())
@@ -219,7 +214,7 @@ def shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 def read_checksums(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """For every document, read from the store's files: id, start, n_tokens, ids_crc32 of its ids.
 
-    Each stored chunk is read and expanded once and its ids' digest verified. CRC-32 is linear, so
+    Each stored chunk is read once and its digest verified. CRC-32 is linear, so
     a document's follows from its chunks' by ``shifted``; the chunks' bytes needn't be moved to
     their documents, as ``read_store`` does to give the ids themselves. A missing chunk, or a
     document without all its ids, is an error.
@@ -228,17 +223,12 @@ def read_checksums(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     id_type = recipes.schema[id_col].dataType.simpleString()
 
     def sums(batches):
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             crc = []
             for name, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = expand.decompress(data)
-                ids = unpack_ids(raw, len(raw) // n)
-                if digest(ids) != name:
+                if digest(data) != name:
                     raise ValueError(f"chunk {name.hex()} doesn't give its digest")
-                crc.append(zlib.crc32(ids.tobytes()))
+                crc.append(zlib.crc32(unpack_ids(data, n).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crc, pa.int64())], names=["digest", "chunk_n", "crc"])
 
     def parts(batches):
@@ -284,9 +274,6 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids:
     laid = joined.select("shard", "idx", "pos", id_col, "start", "n_tokens", "digest", "chunk_n", "payload").repartition(shards, "shard", "idx").sortWithinPartitions("shard", "idx", "pos")
 
     def rebuild(batches):
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor()
         key, held, row = None, [], None
 
         def finish():
@@ -315,11 +302,9 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids:
                         done, size = [], 0
                 if data is None:
                     raise ValueError(f"document {rest[0]}: chunk {name.hex()} is missing")
-                raw = expand.decompress(data)
-                ids = unpack_ids(raw, len(raw) // n)
-                if digest(ids) != name:
+                if digest(data) != name:
                     raise ValueError(f"chunk {name.hex()} doesn't give its digest")
-                held.append(ids)
+                held.append(unpack_ids(data, n))
             yield emit(done)
         if row is not None:
             yield emit([finish()])

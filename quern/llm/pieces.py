@@ -183,7 +183,7 @@ class PieceEncoder:
         at = 0
         while at < len(texts):
             stop, size = at, 0
-            while stop < len(texts) and size < 1 << 23:  # about eight million characters at a time
+            while stop < len(texts) and size < 1 << 22:  # about four million characters at a time
                 size += len(texts[stop] or "")
                 stop += 1
             out.extend(self._encode(texts[at:stop]))
