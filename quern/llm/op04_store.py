@@ -33,8 +33,9 @@ from quern.llm.pieces import encoder as piece_encoder
 from quern.llm.pieces import parts as slices
 from quern.session import spread
 
-#: Chunks hold from MIN_IDS to MAX_IDS ids; beyond MIN_IDS one in AVG_IDS positions is a cut.
-MIN_IDS, AVG_IDS, MAX_IDS, WINDOW = 64, 512, 8192, 8
+#: Chunks hold from MIN_IDS to MAX_IDS ids; beyond MIN_IDS one in AVG_IDS positions is a cut. A shared
+#: passage is stored once only where it holds whole chunks, so these are well below a passage's 100 to 500 ids.
+MIN_IDS, AVG_IDS, MAX_IDS, WINDOW = 16, 64, 1024, 8
 #: Digests a task remembers to send a chunk on only once.
 SEEN = 200_000
 

@@ -116,3 +116,15 @@ def test_chunks_follow_content():
     assert ends[0][-1] == len(a) and ends[1][-1] == len(b)
     assert all((unpack_ids(shared.astype(f"<u{w}").tobytes(), len(shared)) == shared).all() for w in (2, 4))
     assert merkle_root([b"a", b"b", b"c"]) != merkle_root([b"a", b"c", b"b"])
+
+
+def test_shared_passages_hold_whole_chunks():
+    rng = np.random.default_rng(4)
+    some = lambda n: rng.integers(0, 50000, n).astype(np.uint32)
+    met = 0
+    for _ in range(50):
+        passage = some(300)  # about 130 words
+        a, b = np.concatenate([some(250), passage, some(250)]), np.concatenate([some(400), passage, some(100)])
+        ends = cuts(np.concatenate([a, b]), [0, len(a), len(a) + len(b)])
+        met += bool({a[i:j].tobytes() for i, j in zip([0, *ends[0]], ends[0])} & {b[i:j].tobytes() for i, j in zip([0, *ends[1]], ends[1])})
+    assert met >= 40
