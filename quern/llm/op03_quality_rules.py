@@ -20,21 +20,28 @@ from pyspark.sql import DataFrame
 from quern.session import spread
 
 LEVEL = 3
-#: (bytes below which the band holds, least ratio, largest ratio); real prose lies well inside.
+#: (bytes below which the band holds, least ratio, largest ratio). Least ratios lie just under the lowest of real
+#: prose at a band's lower edge and over random characters where the two differ: base64, and letters with digits, from
+#: 512 bytes on, letters from 2 KB, hexadecimal from 8 KB. Below those the ratios of prose and noise overlap.
 BANDS = (
     (128, 0.0, 2.4),
-    (256, 1.0, 2.6),
-    (512, 1.15, 2.6),
-    (1024, 1.3, 2.8),
-    (2048, 1.4, 3.0),
-    (4096, 1.45, 3.2),
-    (8192, 1.5, 3.4),
-    (16384, 1.5, 3.6),
-    (32768, 1.5, 3.8),
-    (1 << 62, 1.5, 4.2),
+    (192, 1.0, 2.6),
+    (256, 1.045, 2.6),
+    (384, 1.09, 2.6),
+    (512, 1.17, 2.6),
+    (768, 1.3, 2.8),
+    (1024, 1.34, 2.8),
+    (1536, 1.45, 3.0),
+    (2048, 1.6, 3.0),
+    (3072, 1.69, 3.2),
+    (4096, 1.74, 3.2),
+    (8192, 1.78, 3.4),
+    (16384, 1.92, 3.6),
+    (32768, 2.0, 3.8),
+    (1 << 62, 2.0, 4.2),
 )
 #: Bytes of a chunk; a last chunk of less than half joins the one before. Band of chunks, and the share of bytes that may lie outside.
-CHUNK, CHUNK_BAND, OUTSIDE = 4096, (1.4, 3.4), 0.2
+CHUNK, CHUNK_BAND, OUTSIDE = 4096, (1.78, 3.4), 0.2
 #: Base rules.
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"

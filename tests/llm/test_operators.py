@@ -165,6 +165,32 @@ def test_bands(spark):
     assert rules.chunks_of(10000) == [(0, 4096), (4096, 10000)] and rules.chunks_of(10300) == [(0, 4096), (4096, 8192), (8192, 10300)] and rules.chunks_of(5) == [(0, 5)]
 
 
+def test_noise_fails_and_prose_stays(spark):
+    r = random.Random(7)
+    letters, hexes = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+    more = letters + letters.upper() + "0123456789"
+    lengths = (200, 400, 700, 1000, 1500, 2100, 3000, 4096, 6000, 8192, 12000, 16384, 30000)
+
+    def noise(alphabet, n):
+        text = ""
+        while len(text) < n:
+            text += "".join(r.choice(alphabet) for _ in range(r.randint(2, 9))) + " "
+        return text[:n]
+
+    # From which length on each kind is told from prose.
+    kinds = {"base64": (more + "+/", 700), "alphanumeric": (more, 700), "letters": (letters, 2100), "hex": (hexes, 8192)}
+    bad = [(f"{k} {n}", noise(alphabet, n)) for k, (alphabet, least) in kinds.items() for n in lengths if n >= least]
+    # The prose of Python's own documentation strings, cut to each length.
+    import argparse, datetime, decimal, doctest, logging, pickle, statistics, typing  # noqa: E401
+
+    real = ["\n".join(x for m in (argparse, decimal, doctest, logging, pickle, statistics, datetime, typing) for o in [m, *vars(m).values()] if isinstance(x := getattr(o, "__doc__", None), str) and len(x) > 200)]
+    good = [(f"prose {n} {a}", t[a : a + n]) for t in real for n in lengths for a in (0, 9000) if len(t) >= a + n]
+    kept = {x.doc_id: (x.kept, x.ratio) for x in rules.judge(spark.createDataFrame(bad + good, "doc_id string, text string")).where("not base_failed").collect()}
+    assert len(good) > 15 and [k for k, _ in bad if k in kept and kept[k][0]] == []
+    low = [(k, kept[k]) for k, t in good if k in kept and kept[k][1] < rules.band_of(len(t.encode()))[0]]
+    assert low == []
+
+
 # 5
 
 
