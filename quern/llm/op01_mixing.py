@@ -8,9 +8,8 @@ seeded order: by the leading bits of a hash the pattern falls into buckets, whos
 buckets lie wholly in one source's share. Only the few buckets across which a share ends are
 looked into, document by document.
 
-What reaches the driver: one row a pattern (``MAX_PATTERNS`` at most; beyond it every pattern
-is taken as its first source, which keeps all documents and only narrows where they may go), one
-row a share's end. Nothing of a document's size or number is collected.
+What reaches the driver: one row a pattern, however many there are, and one row a share's end.
+Nothing of a document's size or number is collected.
 
 A null size counts as 0; a document of size 0 is never taken. A null source is a source of its
 own. A document without sources is never taken. Rows with the same id and pattern are taken or
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 
 from quern.session import materialise
 
-MAX_PATTERNS = 2000
 #: Buckets hold about ROWS documents, and a pattern has at most 2**BITS.
 ROWS, BITS = 1024, 14
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -39,7 +37,7 @@ def word_count(text: str | Column) -> Column:
 
 
 def min_cost_flow(n: int, arcs: Sequence[tuple[int, int, int, float]], s: int, t: int) -> list[int]:
-    """The flow on each arc (from, to, capacity, cost) of a cheapest largest flow. Costs mustn't be negative. Successive shortest paths with potentials."""
+    """The flow on each arc (from, to, capacity, cost) of a cheapest largest flow. Costs mustn't be negative. Shortest paths with potentials; those of one cost are filled together, by blocking flows."""
     to, cap, cost, out = [], [], [], [[] for _ in range(n)]
     for u, v, c, w in arcs:
         out[u].append(len(to))
@@ -63,15 +61,37 @@ def min_cost_flow(n: int, arcs: Sequence[tuple[int, int, int, float]], s: int, t
         if by[t] < 0:
             return [cap[2 * i + 1] for i in range(len(arcs))]
         lift = [p + (d if d < float("inf") else far[t]) for p, d in zip(lift, far)]
-        push, v = None, t
-        while v != s:
-            push = cap[by[v]] if push is None else min(push, cap[by[v]])
-            v = to[by[v] ^ 1]
-        v = t
-        while v != s:
-            cap[by[v]] -= push
-            cap[by[v] ^ 1] += push
-            v = to[by[v] ^ 1]
+        while True:
+            level, queue = [-1] * n, [s]
+            level[s] = 0
+            for u in queue:
+                for e in out[u]:
+                    if cap[e] > 0 and level[to[e]] < 0 and abs(cost[e] + lift[u] - lift[to[e]]) < 1e-9:
+                        level[to[e]] = level[u] + 1
+                        queue.append(to[e])
+            if level[t] < 0:
+                break
+            at, path, u = [0] * n, [], s
+            while True:
+                if u == t:
+                    push = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    path, u = [], s
+                while at[u] < len(out[u]):
+                    e = out[u][at[u]]
+                    if cap[e] > 0 and level[to[e]] == level[u] + 1 and abs(cost[e] + lift[u] - lift[to[e]]) < 1e-9:
+                        break
+                    at[u] += 1
+                if at[u] < len(out[u]):
+                    path.append(e)
+                    u = to[e]
+                elif u == s:
+                    break
+                else:
+                    u = to[path.pop() ^ 1]
+                    at[u] += 1
 
 
 def capped_shares(sizes: Sequence[int], weights: Sequence[float], cap: float) -> list[float]:
@@ -137,12 +157,7 @@ def mix(sized: DataFrame, quotas, repeat_costs: Sequence[float] = (0.0, 1.0, 3.0
     """
     spark = sized.sparkSession
     base = sized.select(F.col(id_col).alias("_id"), F.coalesce("size", F.lit(0)).alias("_size"), F.coalesce(F.array_sort(F.array_distinct("sources")), F.array().cast("array<string>")).alias("_held"))
-    found = base.groupBy("_held").agg(F.sum("_size").alias("tokens"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        base = base.withColumn("_held", F.slice("_held", 1, 1))
-        found = base.groupBy("_held").agg(F.sum("_size").alias("tokens"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
-        if len(found) > MAX_PATTERNS:
-            raise ValueError(f"more than {MAX_PATTERNS} sources")
+    found = base.groupBy("_held").agg(F.sum("_size").alias("tokens"), F.count("*").alias("n")).collect()
     found = sorted(found, key=lambda r: [(x is None, x or "") for x in r._held])
     sizes: dict = {}
     for r in found:

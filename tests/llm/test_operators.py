@@ -134,6 +134,26 @@ def test_overlapping_sources(spark):
     assert all(abs(got[x] - q) <= 30 for x, q in quotas.items())
 
 
+def test_patterns_beyond_two_thousand_keep_their_sources(spark):
+    names = [f"s{i:02}" for i in range(12)]
+    held = [[x for i, x in enumerate(names) if k >> i & 1] for k in range(1, 4096)]
+    df = spark.createDataFrame([(k, 10, h) for k, h in enumerate(held)], "doc_id int, size long, sources array<string>")
+    quotas = dict.fromkeys(names, 3000)  # the last source alone is first of one document
+    out, _ = mixing.mix(df, quotas)
+    got = Counter()
+    for row in out.collect():
+        assert set(row.picks) <= set(row.sources) and len(row.sources) == bin(row.doc_id + 1).count("1")
+        for x in row.picks:
+            got[x] += row.size
+    assert all(abs(got[x] - 3000) <= 30 for x in names)
+
+
+def test_single_sources_without_limit(spark):
+    df = spark.range(2500).selectExpr("cast(id as int) doc_id", "10L size", "array(concat('s', id)) sources")
+    out, _ = mixing.mix(df, lambda sizes: dict.fromkeys(sizes, 20))
+    assert [r.copies for r in out.collect()] == [2] * 2500
+
+
 # 3
 
 
