@@ -20,12 +20,23 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_key", key(hits.columns)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *ties, F.col("_key"))))
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, alpha: float = 0.7, k: int = K) -> DataFrame:
+def ranked_whole(hits: DataFrame) -> DataFrame:
+    """``ranked`` for lists without a limit: rows meet those of their own score alone, and the numbers of
+    rows with higher scores are added. Scores are rounded, so that their table is short."""
+    ties = [F.col("id")] if "id" in hits.columns else []
+    per_score = hits.groupBy("score").count()
+    before = per_score.select(F.col("score").alias("_s"), (F.sum("count").over(Window.orderBy(F.desc("score"))) - F.col("count")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("score").orderBy(*ties, F.col("_key")))
+    numbered = hits.withColumn("_key", key(hits.columns)).withColumn("_own", own)
+    return numbered.join(before, F.col("score").eqNullSafe(F.col("_s"))).withColumn("rank", F.col("_own") + F.col("_before")).drop("_own", "_s", "_before")
+
+
+def fuse(vector: DataFrame, keyword: DataFrame, alpha: float = 0.7, k: int = K, whole: bool = False) -> DataFrame:
     """The union of both lists by fused_score, rounded to 6 places: alpha/(k+rank) of the vector list
     and (1-alpha)/(k+rank) of the keyword list. A hit of both has the vector list's columns.
-    vector_score and bm25_score are null for a list that hasn't the hit.
+    vector_score and bm25_score are null for a list that hasn't the hit. ``whole``: the lists have no limit.
     """
-    v, b = ranked(vector), ranked(keyword)
+    v, b = map(ranked_whole if whole else ranked, (vector, keyword))
     shared = [c for c in vector.columns if c in keyword.columns and c != "score"]
     v = v.select("_key", F.col("rank").alias("_vr"), F.round("score", 4).alias("vector_score"), *[F.col(c).alias(f"_v_{c}") for c in shared])
     b = b.select("_key", F.col("rank").alias("_br"), F.round("score", 4).alias("bm25_score"), *[F.col(c).alias(f"_b_{c}") for c in shared])

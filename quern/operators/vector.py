@@ -19,12 +19,13 @@ def cosine(vector: Column, query: Sequence[float]) -> Column:
     return F.when(F.size(vector) == len(query), F.try_divide(_dot(vector, q), F.sqrt(_dot(vector, vector)) * F.lit(norm)))
 
 
-def search(chunks: DataFrame, query: Sequence[float], top_k: int, where: Column | None = None, vector_col: str = "vector", id_col: str = "id") -> DataFrame:
+def search(chunks: DataFrame, query: Sequence[float], top_k: int | None, where: Column | None = None, vector_col: str = "vector", id_col: str = "id") -> DataFrame:
     """The ``top_k`` rows nearest to ``query`` for which ``where`` holds, with their score, the cosine rounded to 4 places.
 
     The filter comes before the search, in the scan. Scores are made in one pass, and each task
-    keeps ``top_k`` rows alone. Equal scores go by id.
+    keeps ``top_k`` rows alone. Equal scores go by id. Without ``top_k`` all rows come, in no order.
     """
     rows = chunks.where(where) if where is not None else chunks
     scored = rows.withColumn("score", F.round(cosine(F.col(vector_col), query), 4)).drop(vector_col)
-    return scored.where("score is not null").orderBy(F.desc("score"), id_col).limit(top_k)
+    found = scored.where("score is not null")
+    return found if top_k is None else found.orderBy(F.desc("score"), id_col).limit(top_k)

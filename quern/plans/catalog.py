@@ -209,11 +209,11 @@ for _name, _alpha in (("rrf_hybrid_full", 0.7), ("rrf_alpha_0", 0.0), ("rrf_alph
 
 @query(_rrf_sql(0.7, keyword="(SELECT id, 10 - score AS score FROM vec WHERE score IS NOT NULL ORDER BY 10 - score DESC, id LIMIT 2000)", n=2000))
 def rrf_overlap(spark, sf):
-    """Both lists hold each vector, in opposite orders, so that every score is a sum."""
+    """Both lists hold each vector, in opposite orders, so that every score is a sum. The SQL says the same of 2,000 vectors at most."""
     e = _embeddings(spark, sf).withColumnRenamed("vec_id", "id")
-    v = vector.search(e, _vector0(spark, sf), 2000, vector_col="embedding").select("id", "score")
+    v = vector.search(e, _vector0(spark, sf), None, vector_col="embedding").select("id", "score")
     b = v.select("id", (10 - F.col("score")).alias("score"))
-    return fusion.fuse(v, b, 0.7).select("id", "fused_score", "vector_score", "bm25_score")
+    return fusion.fuse(v, b, 0.7, whole=True).select("id", "fused_score", "vector_score", "bm25_score")
 
 
 @query(f"WITH {_VEC} SELECT id, score FROM vec ORDER BY score DESC, id LIMIT 20")

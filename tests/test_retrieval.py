@@ -125,3 +125,18 @@ def test_paths(spark):
     rows = [("a/b.PY", "py", "python"), (".gitignore", "", None), ("x.tar.gz", "gz", None), ("d.v1/readme", "", None), ("y.h", "h", "c"), ("z.ditamap", "ditamap", "ditamap")]
     for p, ext, lang in rows:
         assert tuple(spark.createDataFrame([(p,)], "p string").select(tx.extension(F.col("p")), tx.language(F.col("p"))).first()) == (ext, lang)
+
+
+def test_overlap_holds_every_vector(spark, tmp_path):
+    import random
+
+    from quern.plans.catalog import QUERIES
+
+    r = random.Random(3)
+    data = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(2500)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = {x.id: x for x in QUERIES["rrf_overlap"](spark, str(tmp_path)).collect()}
+    assert len(out) == 2500
+    first = {i: n for n, i in enumerate(sorted(out, key=lambda i: (-out[i].vector_score, i)), 1)}
+    second = {i: n for n, i in enumerate(sorted(out, key=lambda i: (-out[i].bm25_score, i)), 1)}
+    assert all(abs(x.fused_score - 0.7 / (60 + first[i]) - 0.3 / (60 + second[i])) < 1e-6 for i, x in out.items())
