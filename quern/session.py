@@ -88,6 +88,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """``n`` names that no column of ``df`` has, in upper or lower case."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if (name := f"_quern{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for a session, so that Python workers can import it wherever they run."""
     sc = spark.sparkContext
