@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.pieces import encoder as piece_encoder
+from quern.llm.workers import lean
 from quern.session import materialise, spread
 
 #: Pieces of a group; also what one task holds at once (some tens of bytes each).
@@ -154,7 +155,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
                     start, stop, piece = stop, stop + capacity, piece + 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64()))] + [pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[id_col] + [f for f, _ in fields])
 
-    return spread(docs.select(id_col, text_col)).mapInArrow(run, schema)
+    return spread(docs.select(id_col, text_col)).mapInArrow(lean(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import json
 import string
-from functools import cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker keeps; beyond it those met once make room.
-CACHE_PIECES = 600_000
+from quern.llm.workers import held
+
+#: Words and other pieces that a worker keeps (some 150 bytes each); beyond it those met once make room.
+CACHE_PIECES = 300_000
 #: Longer pieces are encoded but not kept.
 KEEP_CHARS = 48
 #: Marks that never join a word before them; a run of them at a piece's end is a pre-token.
@@ -44,21 +45,19 @@ def _latin(text: str) -> bool:
 
 
 class PieceEncoder:
-    """Ids for BPE tokenizers that split at spaces (``add_special_tokens=False``).
+    """The ids that the library gives with ``add_special_tokens=False``.
 
-    Texts holding a run of white space, or white space at an end, go to the library whole.
-    Null is treated as the empty text, which has no ids.
+    Pieces are encoded apart for the two kinds of BPE tokenizers known to split at spaces. Whole
+    texts go to the library if they hold an added token, a run of white space, or white space at an
+    end, and all texts do for other tokenizers. Null is treated as the empty text, which has no ids.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache_pieces = cache_pieces
-        self.merges, self.lead, self.fold = self._direct(path, self.tokenizer)
-        self.marks: dict[str, np.ndarray] = {}
-        self.heads: dict[str, np.ndarray] = {}
+        self.merges, self.lead, self.fold, self.added = self._direct(path, self.tokenizer)
         self.widths = self._widths() if self.merges is not None else None
         self._reset()
 
@@ -72,29 +71,34 @@ class PieceEncoder:
 
     @staticmethod
     def _direct(path: str, tokenizer):
-        """The merges alone, where the rest of the tokenizer is of one of the two kinds known to
-        leave a Latin word in one part; otherwise None, and every piece goes the whole way."""
+        """The merges alone, what stands before a word, whether letters are lower-cased, and the
+        added tokens; no merges if the tokenizer isn't of one of the two kinds that are known."""
         from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         if spec["model"]["type"] != "BPE" or spec["model"].get("dropout"):
-            return None, "", False
+            return None, "", False, ()
+        # Added tokens are looked for in the text as it stands, so that a text without one can be told.
+        added = tuple(x["content"] for x in spec.get("added_tokens") or ())
+        if any(norm and x.get("normalized") for x in spec.get("added_tokens") or ()):
+            return None, "", False, ()
         lower = bool(norm) and any(n["type"] == "Lowercase" for n in norm.get("normalizers", [norm]))
         byte_level = norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         word_ends = lower and bool(spec["model"].get("end_of_word_suffix")) and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
         if not (byte_level or word_ends):
-            return None, "", False
+            return None, "", False, ()
         bare = Tokenizer(tokenizer.model)  # the same merges in memory
         bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
-        return bare, "\u0120" if byte_level else "", lower
+        return bare, "\u0120" if byte_level else "", lower, added
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str | tuple, int] = {}  # words and other pieces; (marks,); ("", first piece)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.hits, self.n = np.zeros(1 << 12, np.int32), 0
+        self._add([("",)], np.zeros(0, np.uint32), np.zeros(1, np.int64))  # number 0: nothing
 
     def _trim(self) -> None:
         """Keep the pieces that were met again, half of the limit at most."""
@@ -102,16 +106,16 @@ class PieceEncoder:
         keep = hits > 1
         if keep.sum() > self.cache_pieces // 2:
             keep = hits > np.partition(hits, -(self.cache_pieces // 2))[-(self.cache_pieces // 2)]
-        old = [(p, k) for p, k in self.index.items() if k >= 0 and keep[k]]
+        old = [(p, k) for p, k in self.index.items() if k > 0 and keep[k]]
         was = np.array([k for _, k in old], np.int64)
         ids, n = self._gather(was)
         hits = hits[was] // 2
         self._reset()
         if old:
             self._add([p for p, _ in old], ids.copy(), n)
-            self.hits[: self.n] = hits
+            self.hits[1 : self.n] = hits
 
-    def _add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _add(self, keys: list, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Keep the ids of ``keys``, laid end to end."""
         k, n = len(keys), len(ids)
         while self.used + n > len(self.flat):
@@ -133,23 +137,26 @@ class PieceEncoder:
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.repeat(self.starts[k] - ends + n, n) + np.arange(total)], n
 
-    def _add_encoded(self, keys: list[str], encoding) -> None:
+    def _add_encoded(self, keys: list, encoding) -> None:
         words = np.array(encoding.word_ids, np.float64)  # None becomes nan, which no key counts
         self._add(keys, np.array(encoding.ids, np.uint32), np.bincount(words[~np.isnan(words)].astype(np.int64), minlength=len(keys)))
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces. A word of Latin letters, alone or before punctuation, is
-        a pre-token by itself and goes straight to the merges; others take the whole way."""
-        index, plain, marked, rest, breaks = self.index, {}, {}, [], []
-        direct = self.merges is not None
+    def _learn(self, words: list[str], pieces: list[str], marks: list[tuple], heads: list[tuple]) -> None:
+        """Encode what is new. ``words`` are pre-tokens by themselves and go straight to the merges; others take the whole way."""
+        index, rest, breaks = self.index, [], []
+        for at in range(0, len(words), 4000):
+            part = words[at : at + 4000]
+            laid = ("\n" + self.lead).join(part)
+            if not laid.isascii():
+                laid = ("\n" + self.lead).join(c if c.isascii() else c.encode().decode("latin-1").translate(BYTE_CHARS) for c in part)
+            laid = self.lead + laid
+            ids = np.array(self.merges.encode_batch_fast([laid], add_special_tokens=False)[0].ids, np.uint32)
+            # The tokens' widths say where each word ends: at the line breaks, which have no token.
+            breaks_at = np.flatnonzero(np.frombuffer(laid.encode("utf-32-le"), np.uint32) == 10)
+            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.append(breaks_at - np.arange(len(breaks_at)), len(laid) - len(breaks_at))) + 1
+            self._add(part, ids, np.diff(ends, prepend=0))
         for p in pieces:
-            if direct and p.isalpha() and (p.isascii() or max(p) < "\u0130"):
-                plain[p] = None
-            elif direct and len(c := p.rstrip(MARKS)) < len(p) and c.isalpha() and (c.isascii() or max(c) < "\u0130"):
-                marked.setdefault(p[len(c) :], []).append(p)
-                if c not in index:
-                    plain[c] = None
-            elif not p or p[-1].isspace():
+            if not p or p[-1].isspace():
                 index[p] = -1
             elif not p[0].isspace():
                 rest.append(p)
@@ -157,33 +164,23 @@ class PieceEncoder:
                 breaks.append(p)
             else:
                 index[p] = -1
-        cores = list(plain)
-        for at in range(0, len(cores), 4000):
-            part = cores[at : at + 4000]
-            laid = [self.lead + (c if c.isascii() else c.encode().decode("latin-1").translate(BYTE_CHARS)) for c in part]
-            ids = np.array(self.merges.encode_batch_fast(["\n".join(laid)], add_special_tokens=False)[0].ids, np.uint32)
-            # The tokens' widths say where each word ends.
-            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(c) for c in laid])) + 1
-            self._add(part, ids, np.diff(ends, prepend=0))
-        for mark, part in marked.items():
-            if (m := self.marks.get(mark)) is None:
-                m = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, np.uint32)
-                if len(mark) <= KEEP_CHARS and len(self.marks) < 50_000:
-                    self.marks[mark] = m
-            ids, n = self._gather(np.fromiter((index[p[: -len(mark)]] for p in part), np.int64, len(part)))
-            self._add(part, np.insert(ids, np.repeat(np.cumsum(n), len(m)), np.tile(m, len(part))), n + len(m))
-        for lead, whole in ((" ", rest), ("", breaks)):
-            for at in range(0, len(whole), 1000):
-                part = whole[at : at + 1000]
-                self._add_encoded(part, self.tokenizer.encode([lead + p for p in part], add_special_tokens=False, is_pretokenized=True))
+        for h in heads:
+            if not h[1] or h[1][0].isspace() or h[1][-1].isspace():
+                index[h] = -1
+        heads = [h for h in heads if h not in index]
+        for keys, texts in ((rest, [" " + p for p in rest]), (breaks, breaks), (marks, [m[0] for m in marks]), (heads, [h[1] for h in heads])):
+            for at in range(0, len(keys), 1000):
+                self._add_encoded(keys[at : at + 1000], self.tokenizer.encode(texts[at : at + 1000], add_special_tokens=False, is_pretokenized=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """An array of ids (uint32) for each text."""
+        if self.merges is None:
+            return [self._whole(t) for t in texts]
         out: list[np.ndarray] = []
         at = 0
         while at < len(texts):
             stop, size = at, 0
-            while stop < len(texts) and size < 1 << 22:  # about four million characters at a time
+            while stop < len(texts) and size < 1 << 21:  # about two million characters at a time
                 size += len(texts[stop] or "")
                 stop += 1
             out.extend(self._encode(texts[at:stop]))
@@ -193,59 +190,77 @@ class PieceEncoder:
     def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > self.cache_pieces:
             self._trim()
-        if self.fold:
-            texts = [t.lower() if t and (t.isascii() or _latin(t)) else t for t in texts]
+        low = [t.lower() if t and (t.isascii() or _latin(t)) else t for t in texts] if self.fold else texts
+        # A text with an added token, or with one once lower-cased, goes to the library as it stands.
+        special = {i: t for i, (t, u) in enumerate(zip(texts, low)) if t and any(x in t or x in u for x in self.added)}
+        texts = ["" if i in special else u for i, u in enumerate(low)] if special else low
         # A single line break between words begins a piece of its own: no pre-token spans it.
         cut = pc.split_pattern(pa.array([t.replace("\n", " \n") if t else "" for t in texts], pa.large_string()), " ")
         # Arrow numbers the different pieces, so that each is looked up once.
         coded = cut.flatten().dictionary_encode()
-        code, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        k = np.fromiter(map(self.index.get, pieces, repeat(-2)), np.int64, len(pieces))
-        missing = np.flatnonzero(k == -2).tolist()
-        if missing:
-            fresh = [pieces[i] for i in missing]
-            self._learn(fresh)
-            k[missing] = [self.index[p] for p in fresh]
-            for p in fresh:
-                if len(p) > KEEP_CHARS:
-                    del self.index[p]
-        known = k >= 0
-        self.hits[k[known]] += np.bincount(code, minlength=len(k))[known].astype(np.int32)
+        code, found = coded.indices.to_numpy(), coded.dictionary
         bounds = cut.offsets.to_numpy()
-        k = k[code]
-        # The first piece has no space before it, so it is encoded by itself.
-        k[bounds[:-1]] = -3
-        used = k >= 0
-        n = np.zeros(len(k), np.int64)
-        ids, n[used] = self._gather(k[used]) if used.any() else (np.zeros(0, np.uint32), 0)
-        stops = np.concatenate([[0], np.cumsum(n)])[bounds].tolist()
-        unsafe = np.concatenate([[0], np.cumsum(k == -1)])[bounds].tolist()
+        pieces = found.to_numpy(zero_copy_only=False)
+        # A Latin word, alone or before marks, is a pre-token by itself. The merges don't lower-case, so
+        # that capitals (of texts beyond Latin-1) take the whole way.
+        cores = pc.ascii_rtrim(found, MARKS)
+        word = pc.ascii_is_alpha(cores).to_numpy(zero_copy_only=False) & pc.string_is_ascii(cores).to_numpy(zero_copy_only=False)
+        if self.fold:
+            word &= pc.equal(pc.ascii_lower(cores), cores).to_numpy(zero_copy_only=False)
+        core = cores.to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(~pc.string_is_ascii(cores).to_numpy(zero_copy_only=False)).tolist():
+            c = core[i]
+            word[i] = c.isalpha() and max(c) < "\u0130" and not (self.fold and c != c.lower())
+        keys = np.where(word, core, pieces).tolist()
+        tail = np.flatnonzero(word & (pc.binary_length(cores).to_numpy() < pc.binary_length(found).to_numpy()))
+        marks = [(p[len(c) :],) for p, c in zip(pieces[tail].tolist(), core[tail].tolist())]
+        # The first piece has no space before it, which matters to byte-level tokenizers.
+        heads = [("", p) for p in pieces[code[bounds[:-1]]].tolist()] if self.lead else []
+        k = np.fromiter(map(self.index.get, keys, repeat(-2)), np.int64, len(keys))
+        missing = np.flatnonzero(k == -2)
+        new = word[missing]
+        lost = lambda some: [x for x in dict.fromkeys(some) if x not in self.index]
+        self._learn(list(dict.fromkeys(keys[i] for i in missing[new].tolist())), [keys[i] for i in missing[~new].tolist()], lost(marks), lost(heads))
+        k[missing] = [self.index[keys[i]] for i in missing.tolist()]
+        # The ids of each different piece: its word's and its marks'; then of each different head.
+        after = np.zeros(len(k), np.int64)
+        after[tail] = [self.index[m] for m in marks]
+        at_head = np.array([self.index[h] for h in heads], np.int64)
+        first = np.concatenate([k, at_head])
+        after = np.concatenate([after, np.zeros(len(at_head), np.int64)])
+        safe = first >= 0
+        table, n = self._gather(np.stack([np.where(safe, first, 0), np.where(safe, after, 0)], axis=1).ravel())
+        n = n.reshape(-1, 2).sum(1)
+        starts = np.cumsum(n) - n
+        known = k >= 0
+        np.add.at(self.hits, k[known], np.bincount(code, minlength=len(k))[known].astype(np.int32))
+        for x in {keys[i] for i in missing.tolist() if len(keys[i]) > KEEP_CHARS} | {m for m in marks if len(m[0]) > KEEP_CHARS} | {h for h in heads if len(h[1]) > KEEP_CHARS}:
+            del self.index[x]
+        if self.lead:
+            code = code.copy()
+            code[bounds[:-1]] = len(k) + np.arange(len(heads))
+        at, n = starts[code], n[code]
+        ends = np.cumsum(n)
+        ids = table[np.repeat(at - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        stops = np.concatenate([[0], ends])[bounds].tolist()
+        unsafe = np.concatenate([[0], np.cumsum(~safe[code])])[bounds].tolist()
         out = []
         for i, t in enumerate(texts):
             if not t:
-                out.append(np.zeros(0, np.uint32))
-                continue
-            h = pieces[code[bounds[i]]]
-            if unsafe[i + 1] > unsafe[i] or not h or h[0].isspace() or h[-1].isspace():
-                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
+                out.append(self._whole(special.get(i)))
+            elif unsafe[i + 1] > unsafe[i]:
+                out.append(self._whole(t))
             else:
-                out.append(np.concatenate([self._head(h), ids[stops[i] : stops[i + 1]]]))
+                out.append(ids[stops[i] : stops[i + 1]])
         return out
 
-    def _head(self, piece: str) -> np.ndarray:
-        if (ids := self.heads.get(piece)) is None:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32)
-            if len(piece) <= KEEP_CHARS:
-                if len(self.heads) > 50_000:
-                    self.heads.clear()
-                self.heads[piece] = ids
-        return ids
+    def _whole(self, text: str | None) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], np.uint32)
 
 
-@cache
 def encoder(path: str) -> PieceEncoder:
-    """One encoder for all tasks of a worker."""
-    return PieceEncoder(path)
+    """One encoder for a worker's tasks."""
+    return held(f"encoder {path}", lambda: PieceEncoder(path))
 
 
 def parts(batch, column: int, size: int = 4 << 20):
