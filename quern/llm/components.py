@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from quern.session import materialise
 
 
+def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined to a table of their keys, where column ``n`` says how many rows a key has. Keys of more than a thousandth of ``total`` rows, a thousand at most, are broadcast, so that none crowds a task."""
+    hot = per_key.where(F.col(n) * 1000 > total)
+    if hot.isEmpty():
+        return rows.join(per_key, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key.where(F.col(n) * 1000 <= total), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for each node with an edge. ``edges``: columns u and v of one type that orders, no nulls.
 
