@@ -19,9 +19,11 @@ import pyarrow.compute as pc
 from quern.llm.workers import held
 
 #: Words and other pieces that a worker keeps (some 150 bytes each); beyond it those met once make room.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 #: Longer pieces are encoded but not kept.
 KEEP_CHARS = 48
+#: Words of the Latin letters below U+0130, whose lower case is one letter each.
+LATIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+$"
 #: Marks that never join a word before them; a run of them at a piece's end is a pre-token.
 MARKS = string.punctuation
 
@@ -205,12 +207,12 @@ class PieceEncoder:
         # that capitals (of texts beyond Latin-1) take the whole way.
         cores = pc.ascii_rtrim(found, MARKS)
         word = pc.ascii_is_alpha(cores).to_numpy(zero_copy_only=False) & pc.string_is_ascii(cores).to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(~word & ~pc.string_is_ascii(cores).to_numpy(zero_copy_only=False))
+        if len(other):
+            word[other] = pc.match_substring_regex(cores.take(pa.array(other)), LATIN).to_numpy(zero_copy_only=False)
         if self.fold:
-            word &= pc.equal(pc.ascii_lower(cores), cores).to_numpy(zero_copy_only=False)
+            word &= pc.equal(pc.utf8_lower(cores), cores).to_numpy(zero_copy_only=False)
         core = cores.to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(~pc.string_is_ascii(cores).to_numpy(zero_copy_only=False)).tolist():
-            c = core[i]
-            word[i] = c.isalpha() and max(c) < "\u0130" and not (self.fold and c != c.lower())
         keys = np.where(word, core, pieces).tolist()
         tail = np.flatnonzero(word & (pc.binary_length(cores).to_numpy() < pc.binary_length(found).to_numpy()))
         marks = [(p[len(c) :],) for p, c in zip(pieces[tail].tolist(), core[tail].tolist())]
@@ -220,8 +222,9 @@ class PieceEncoder:
         missing = np.flatnonzero(k == -2)
         new = word[missing]
         lost = lambda some: [x for x in dict.fromkeys(some) if x not in self.index]
-        self._learn(list(dict.fromkeys(keys[i] for i in missing[new].tolist())), [keys[i] for i in missing[~new].tolist()], lost(marks), lost(heads))
-        k[missing] = [self.index[keys[i]] for i in missing.tolist()]
+        absent = [keys[i] for i in missing.tolist()]
+        self._learn(list(dict.fromkeys(x for x, w in zip(absent, new.tolist()) if w)), [x for x, w in zip(absent, new.tolist()) if not w], lost(marks), lost(heads))
+        k[missing] = np.fromiter(map(self.index.__getitem__, absent), np.int64, len(absent))
         # The ids of each different piece: its word's and its marks'; then of each different head.
         after = np.zeros(len(k), np.int64)
         after[tail] = [self.index[m] for m in marks]
@@ -234,7 +237,7 @@ class PieceEncoder:
         starts = np.cumsum(n) - n
         known = k >= 0
         np.add.at(self.hits, k[known], np.bincount(code, minlength=len(k))[known].astype(np.int32))
-        for x in {keys[i] for i in missing.tolist() if len(keys[i]) > KEEP_CHARS} | {m for m in marks if len(m[0]) > KEEP_CHARS} | {h for h in heads if len(h[1]) > KEEP_CHARS}:
+        for x in {x for x in absent if len(x) > KEEP_CHARS} | {m for m in marks if len(m[0]) > KEEP_CHARS} | {h for h in heads if len(h[1]) > KEEP_CHARS}:
             del self.index[x]
         if self.lead:
             code = code.copy()

@@ -6,7 +6,9 @@ import ctypes
 import functools
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 _held: dict = {}
 
@@ -48,7 +50,23 @@ def values(array: pa.Array) -> list:
 
 def rows_of(data: bytes | memoryview | pa.Buffer, ends) -> pa.Array:
     """A binary array of the bytes up to each end, without a Python object for each."""
-    import numpy as np
-
     offsets = np.concatenate([[0], ends]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return first, np.append(first[1:], len(keys))[: len(first)]
+
+
+def packed(records: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Fixed-size records as one binary value for each bucket in ``where``, and the buckets."""
+    order = np.argsort(where, kind="stable")
+    first, ends = runs(where[order])
+    return where[order][first], rows_of(records[order].tobytes(), ends * records.dtype.itemsize)
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """A few buckets for each partition of a shuffle, a power of two."""
+    return 1 << (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()

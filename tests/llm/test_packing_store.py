@@ -8,21 +8,70 @@ from hypothesis import strategies as st
 from quern.llm.op02_packing import best_two_fit, pack_documents, place
 from quern.llm.op04_store import chunks_of, cuts, merkle_root, read_checksums, read_store, unpack_ids, verify, write_store
 from quern.llm.pieces import PieceEncoder
-from quern.session import new_path
+from quern.session import new_path, remove
 
 P = pytest.importorskip("public_tokenizers")
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 ODD = ["", " ", "a  b", "a\n b", " lead", "trail ", "x\ty z", "don't 've it’s  ok", "Ünḯ café ́x", "日本 語 <|endoftext|> <|x", "ﬁ № İI ǅ", "12 3'4 's's", "x ‍ y", "word, word. word; word: WORD! word? " * 50, "y" * 5000]
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_pieces_give_the_librarys_ids(name):
+NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
+CAPITALS = [
+    "He said \u201cHello World\u201d \u2014 The End of It",
+    "The price is \u20ac5 in New York City",
+    "don\u2019t Stop The Music now, STOP! \u03a3\u0391\u03a3 \u0130stanbul",
+    "<|endoftext|>",
+    "a <|endoftext|> b",
+    "A <|ENDOFTEXT|> <|StartOfText|>x",
+    "x<|startoftext|>\n<|endoftext|>y \u2026",
+]
+WORDS = ["The", "the", "THE", "Stra\u00dfe", "\u00c9t\u00e9", "\u00e9t\u00e9", "\u201cNew", "York\u201d", "\u20ac5", "don't", "Don\u2019t", "I'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "a<|endoftext|>b", "\u03a3\u03a3", "\u0130I", "e\u0301", "\u0301x", "12", "Word,", "word...", "WORD!?", "\ufb01", "\U0001f600", "\u65e5\u672c", "\u00aa", "\u00b5M", "\u01c5", "'s", "'S", "\u00a0", "\x1c", "\u2028", "\ufeff", "<|", "|>"]
+
+
+@pytest.fixture(scope="module", params=NAMES)
+def fresh(request):
+    """A tokenizer as the library reads it, with nothing set."""
+    return request.param, Tokenizer.from_file(P.path(request.param))
+
+
+def ids_of(tokenizer, text):
+    return tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_pieces_give_the_librarys_ids(fresh):
+    name, tokenizer = fresh
     e = PieceEncoder(P.path(name), cache_pieces=10)
-    ref = e.tokenizer.encode_batch(ODD, add_special_tokens=False)
+    texts = ODD + CAPITALS
     for _ in range(2):
-        assert [x.tolist() for x in e.encode(ODD)] == [r.ids for r in ref]
+        assert [x.tolist() for x in e.encode(texts)] == [ids_of(tokenizer, t) for t in texts]
     assert e.encode([None])[0].tolist() == []
 
 
+WARM: dict = {}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.lists(st.sampled_from(WORDS), max_size=12).map(" ".join), st.lists(st.one_of(st.sampled_from(WORDS), st.sampled_from([" ", "\n", "  ", "\t", " \n", ". "]), st.text(max_size=6)), max_size=10).map("".join), st.none()), max_size=6))
+def test_any_text_gives_the_librarys_ids(texts):
+    texts = [t if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
+    for name in NAMES:
+        if name not in WARM:
+            WARM[name] = Tokenizer.from_file(P.path(name)), PieceEncoder(P.path(name), cache_pieces=300)
+        tokenizer, warm = WARM[name]
+        want = [ids_of(tokenizer, t) for t in texts]
+        assert [x.tolist() for x in warm.encode(texts)] == want  # what other texts left behind doesn't count
+        warm._reset()
+        assert [x.tolist() for x in warm.encode(texts)] == want
+
+
+def test_other_tokenizers_take_whole_texts(tmp_path):
+    from tokenizers import models
+
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, " ": 2, "a ": 3}, [("a", " ")]))
+    t.save(str(tmp_path / "t.json"))
+    assert [x.tolist() for x in PieceEncoder(str(tmp_path / "t.json")).encode(["a b", None])] == [ids_of(t, "a b"), []]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=60))
 def test_bins_hold_every_item_once(lengths):
@@ -46,14 +95,14 @@ def test_two_replace_one():
 
 
 def docs_of(spark):
-    rows = [(i, t, "x", 1) for i, t in enumerate(ODD)] + [(50, None, "x", 2), (50, "same", "x", 3), (50, "same", "x", 3), (None, "no id", "x", 4), (7000, "long text, " * 3000, "x", 5)]
+    rows = [(i, t, "x", 1) for i, t in enumerate(ODD + CAPITALS)] + [(50, None, "x", 2), (50, "same", "x", 3), (50, "same", "x", 3), (None, "no id", "x", 4), (7000, "long text, " * 3000, "x", 5)]
     return spark.createDataFrame(rows, "doc_id long, text string, piece string, sequence_id int"), rows
 
 
 def test_packed_documents(spark):
     df, rows = docs_of(spark)
     out = pack_documents(df, P.path("byte_bpe_50k.json"), 1024, 2).toPandas()
-    tok = PieceEncoder(P.path("byte_bpe_50k.json")).tokenizer
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     want = []
     for d, t, *_ in rows:
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
@@ -72,7 +121,7 @@ def test_store_round_trip(spark):
     path = new_path(spark, "t")
     write_store(df, path, P.path("word_bpe_49k.json"), 1)
     out = [r.asDict() for r in read_store(spark, path).collect()]
-    tok = PieceEncoder(P.path("word_bpe_49k.json")).tokenizer
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     want, at = [], 0
     for d, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
@@ -97,7 +146,7 @@ def test_store_of_nothing_and_a_lost_chunk(spark):
     df, _ = docs_of(spark)
     path, lost = new_path(spark, "t"), new_path(spark, "t")
     write_store(df, path, P.path("word_bpe_49k.json"), 1)
-    spark.read.parquet(f"{path}/chunks").where("kind = 0 or n < 100").write.partitionBy("kind").parquet(f"{lost}/chunks")
+    spark.read.parquet(f"{path}/chunks").where("kind = 0 or bucket % 2 = 0").write.partitionBy("kind").parquet(f"{lost}/chunks")
     for name in ("recipes", "manifest"):
         spark.read.parquet(f"{path}/{name}").write.parquet(f"{lost}/{name}")
     for read in (read_store, read_checksums):
@@ -128,3 +177,20 @@ def test_shared_passages_hold_whole_chunks():
         ends = cuts(np.concatenate([a, b]), [0, len(a), len(a) + len(b)])
         met += bool({a[i:j].tobytes() for i, j in zip([0, *ends[0]], ends[0])} & {b[i:j].tobytes() for i, j in zip([0, *ends[1]], ends[1])})
     assert met >= 40
+
+
+def test_changed_recipes_are_errors(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, " ".join(f"w{i}{j}" for j in range(400))) for i in range(6)], "doc_id long, text string")
+    path = new_path(spark, "t")
+    write_store(df, path, P.path("word_bpe_49k.json"), 1)
+    recipes = spark.read.parquet(f"{path}/recipes")
+    schema, rows = recipes.schema, recipes.collect()
+    assert read_checksums(spark, path).count() == 6
+    swapped = F.concat(F.col("digests").substr(F.lit(17), F.length("digests") - 16), F.col("digests").substr(1, 16))
+    for change in (lambda r: r.where("doc_id != 3"), lambda r: r.withColumn("digests", F.when(F.col("doc_id") == 3, swapped).otherwise(F.col("digests"))), lambda r: r.withColumn("leaf", F.unhex(F.sha2("leaf", 256)))):
+        remove(spark, f"{path}/recipes")
+        change(spark.createDataFrame(rows, schema)).write.parquet(f"{path}/recipes")
+        with pytest.raises(Exception, match="don't give|doesn't give"):
+            read_checksums(spark, path).collect()
