@@ -13,7 +13,7 @@ Nothing of a document's size or number is collected.
 
 A null size counts as 0; a document of size 0 is never taken. A null source is a source of its
 own. A document without sources is never taken. Rows with the same id and pattern are taken or
-left together. An empty table gives an empty result. Other columns are ignored.
+left together. A very long text counts whole. Equal shares and equal hashes go by id. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import materialise
+from quern.session import materialise, unused
 
-#: Buckets hold about ROWS documents, and a pattern has at most 2**BITS.
-ROWS, BITS = 1024, 14
+#: Buckets hold about ROWS documents, and a pattern has at most 2**BITS: beyond a thousand million documents buckets grow, by sums of fixed size.
+ROWS, BITS = 1024, 20
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -256,9 +256,13 @@ def mix_by_rank(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
 
 
 def take_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``mix_by_rank`` takes it, with all its columns."""
-    # Rows with equal id and text are taken together, so that their key names both.
-    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col).cast("string"), F.length(text_col).cast("string"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    keyed = docs.withColumn("_key", key)
-    taken = mix_by_rank(keyed, weights, cap, seed, "_key", text_col, source_col).where("copies > 0").select(F.col("_key").alias("_taken"), F.col("copies").alias("_copies")).dropDuplicates(["_taken"])
-    return keyed.join(taken, F.col("_key") == F.col("_taken")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as ``mix_by_rank`` takes it, with all its columns, whatever their names.
+
+    Rows of equal id, text and source are taken or left together; a null id, text or source differs from an empty one.
+    """
+    key, taken_key, copies, copy = unused(docs, 4)
+    at = lambda c: F.col(f"`{c}`")
+    named = F.to_json(F.struct(at(id_col).alias("i"), F.xxhash64(at(text_col)).alias("t"), F.length(at(text_col)).alias("n"), at(source_col).alias("s")))
+    keyed = docs.withColumn(key, named)
+    taken = mix_by_rank(keyed, weights, cap, seed, key, text_col, source_col).where("copies > 0").select(F.col(key).alias(taken_key), F.col("copies").alias(copies)).dropDuplicates([taken_key])
+    return keyed.join(taken, F.col(key) == F.col(taken_key)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[at(c) for c in docs.columns])
