@@ -6,13 +6,15 @@ capitals, small letters, digits and other characters, and a mark for a word that
 before), hashed into ``BUCKETS``. Each group's features count by their share of the group, so a
 text's score doesn't depend on its length. Only the text is read.
 
-Training takes at most ``SAMPLE`` labelled rows, those with the smallest seeded hash of their id:
+Training takes at most ``SAMPLE`` labelled rows, those with the smallest seeded hash of their id (of
+one id's those with the smallest hash of the text; equal rows once):
 a documented bound, the same at every size. Their features are hashed where the texts lie; one
 task then runs the updates, whose cost is bounded as the sample is.
 
 A null or empty text, or one without words, has no features, and its score is the bias alone. A
 label that is null is no label; of several labels of an id the smallest counts. With no labels,
-or none of a kind, the score is 0.5. Other columns are ignored; repeated rows get repeated scores.
+or none of a kind, the score is 0.5. A very long text counts whole, its features by their shares. An empty table gives an
+empty result. Other columns, whatever their names, are ignored (``keep`` returns them as they were); repeated rows get repeated scores.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.workers import lean
 from quern.session import materialise, spread
 
 BUCKETS = 1 << 20
 SAMPLE, EPOCHS = 10_000, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-4, 1e-4
-KEEP = 500_000
+#: Words whose hashes a task remembers.
+KEEP = 200_000
 _RUNS = re.compile(rb"[A-Z]+|[a-z]+|[0-9]+|[\x80-\xff]+|[^A-Za-z0-9\x80-\xff]")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,7 +41,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 def shape(word: bytes) -> bytes:
     """``Word!!`` becomes ``Aa!!``: runs of letters or digits shrink to one sign, marks stay."""
     out = []
-    for run in _RUNS.findall(word)[:12]:
+    for run in _RUNS.findall(word):
         c = run[:1]
         out.append(b"A" if c.isupper() else b"a" if c.islower() or c >= b"\x80" else b"0" if c.isdigit() else run)
     return b"".join(x for i, x in enumerate(out) if i == 0 or x != out[i - 1] or x not in (b"A", b"a", b"0"))
@@ -108,30 +112,39 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     usable = usable.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("_y"))
     chosen = usable.withColumn("_order", F.xxhash64(F.lit(5), "_id")).orderBy("_order", "_id").limit(sample)
     # At most ``sample`` ids of a few bytes each.
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").withColumn("_th", F.xxhash64("_text"))
 
     def hash_rows(batches):
-        h = Hasher()
+        h, seen = Hasher(), set()
         for batch in batches:
+            # Equal rows of a task are hashed once; the others of an id stay few, as the sample does.
+            fresh = [i for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 4)))) if not (k in seen or seen.add(k))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            if len(seen) > KEEP:
+                seen.clear()
             idx, val = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 i, v = sparse(h.groups(text))
                 idx.append(i.astype("<u4").tobytes())
                 val.append(v.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["_y", "_order", "idx", "val"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), batch.column(4), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["_y", "_order", "_id", "_th", "idx", "val"])
 
     def fit(batches):
         rows = []
         for batch in batches:
             rows += zip(*(c.to_pylist() for c in batch.columns))
-        rows.sort(key=lambda r: (r[1], r[2]))
-        made = [(y, np.frombuffer(i, "<u4"), np.frombuffer(v, "<f4").astype(np.float64)) for y, _, i, v in rows]
+        rows.sort(key=lambda r: (r[1], r[2], r[3]))
+        made = [(y, np.frombuffer(i, "<u4"), np.frombuffer(v, "<f4").astype(np.float64)) for y, _, _, i, v in rows]
         w = ftrl(made, epochs=epochs) if len({r[0] for r in made}) > 1 else np.zeros(BUCKETS + 1, np.float32)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([w[at].tobytes()], pa.binary())], names=["at", "w"])
 
-    hashed = materialise(rows.select("_id", "_text", "_y", "_order").mapInArrow(hash_rows, "_y int, _order long, idx binary, val binary"), "features")
-    got = hashed.repartition(1).mapInArrow(fit, "at binary, w binary").collect()
+    id_type = docs.schema[id_col].dataType.simpleString()
+    hashed = materialise(rows.select("_id", "_text", "_y", "_order", "_th").mapInArrow(lean(hash_rows), f"_y int, _order long, _id {id_type}, _th long, idx binary, val binary"), "features")
+    # An id may stand in many rows: the bound is on rows, chosen by their keys alone.
+    keys = hashed.select("_order", "_id", "_th").distinct().orderBy("_order", "_id", "_th").limit(sample)
+    used = hashed.join(F.broadcast(keys), ["_order", "_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"])
+    got = used.select("_y", "_order", "_th", "idx", "val").repartition(1).mapInArrow(fit, "at binary, w binary").collect()
     w = np.zeros(BUCKETS + 1, np.float32)
     for r in got:
         w[np.frombuffer(r.at, "<u4")] = np.frombuffer(r.w, np.float32)
@@ -159,7 +172,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, id_col:
                 p = probabilities(batch.column(at).cast(pa.binary()).to_pylist(), h, w)
                 yield batch.filter(pa.array(p >= threshold))
 
-        return spread(docs).mapInArrow(choose, docs.schema)
+        return spread(docs).mapInArrow(lean(choose), docs.schema)
 
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -169,4 +182,4 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, id_col:
             p = probabilities(batch.column(1).cast(pa.binary()).to_pylist(), h, w)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
-    return spread(docs.select(F.col(id_col), F.col(text_col), held_out(id_col).alias("_held"))).mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
+    return spread(docs.select(F.col(id_col), F.col(text_col), held_out(id_col).alias("_held"))).mapInArrow(lean(run), f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
