@@ -7,25 +7,30 @@ vector. The vector has two parts.
 
 * ``DENSE`` lanes modulo 2**64, filled from BLAKE2b of the paragraph: texts with equal multisets
   have equal sums, others don't, but for chance.
-* ``SIGNS`` lanes modulo 2**16, the sum of +1 or -1 vectors hashed from the paragraph's sentences (long ones in runs of words).
+* ``SIGNS`` lanes modulo 2**32, the sum of +1 or -1 vectors hashed from the paragraph's sentences (long ones in runs of words).
   Products of such sums estimate how many sentences two texts share, so ``likeness`` needs only the
   two fingerprints: the shared sentences over all sentences of both.
 
 A fingerprint is written as base64 of its lanes (little-endian). The text without paragraphs, and
-null, give zeros. Two zeros are alike (1.0), a zero and another aren't (0.0).
+null, give zeros. Two zeros are alike (1.0), a zero and another aren't (0.0). A very long text counts whole: lanes hold
+two thousand million sentences before they wrap. Repeated rows get a fingerprint each; an empty table gives an
+empty result. Ids may be of any type that orders. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.pieces import parts
+from quern.llm.workers import lean
 from quern.session import spread
 
 DENSE, SIGNS = 16, 128
@@ -45,10 +50,10 @@ def runs(sentence: bytes) -> list[bytes]:
 
 
 def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The two parts of each text's fingerprint: uint64 (n, DENSE), uint16 (n, SIGNS)."""
+    """The two parts of each text's fingerprint: uint64 (n, DENSE), uint32 (n, SIGNS)."""
     from xxhash import xxh3_128_digest
 
-    dense, signs = np.zeros((len(texts), DENSE), np.uint64), np.zeros((len(texts), SIGNS), np.uint16)
+    dense, signs = np.zeros((len(texts), DENSE), np.uint64), np.zeros((len(texts), SIGNS), np.uint32)
     wide, bits, of_wide, of_bits = [], [], [], []
     for i, t in enumerate(texts):
         lines = [x for x in (t or "").encode().split(b"\n") if x]
@@ -68,18 +73,18 @@ def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     who, start = np.array(of_wide).T
     dense[who] = np.add.reduceat(np.frombuffer(b"".join(wide), "<u8").reshape(-1, DENSE), start, axis=0)
     who, start = np.array(of_bits).T
-    ones = np.add.reduceat(np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, SIGNS // 8), axis=1), start, axis=0, dtype=np.uint16)
-    signs[who] = ones * np.uint16(2) - np.diff(start, append=len(bits)).astype(np.uint16)[:, None]
+    ones = np.add.reduceat(np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, SIGNS // 8), axis=1), start, axis=0, dtype=np.uint32)
+    signs[who] = ones * np.uint32(2) - np.diff(start, append=len(bits)).astype(np.uint32)[:, None]
     return dense, signs
 
 
 def to_string(dense: np.ndarray, signs: np.ndarray) -> str:
-    return base64.b64encode(dense.astype("<u8").tobytes() + signs.astype("<u2").tobytes()).decode()
+    return base64.b64encode(dense.astype("<u8").tobytes() + signs.astype("<u4").tobytes()).decode()
 
 
 def from_string(s: str) -> tuple[np.ndarray, np.ndarray]:
     b = base64.b64decode(s)
-    return np.frombuffer(b[: 8 * DENSE], "<u8"), np.frombuffer(b[8 * DENSE :], "<u2")
+    return np.frombuffer(b[: 8 * DENSE], "<u8"), np.frombuffer(b[8 * DENSE :], "<u4")
 
 
 def combine(a: str, b: str, sign: int = 1) -> str:
@@ -90,7 +95,7 @@ def combine(a: str, b: str, sign: int = 1) -> str:
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """For each row, from 0 to 1; equal fingerprints give 1."""
-    p, q = a[1].astype(np.int16).astype(np.float64), b[1].astype(np.int16).astype(np.float64)
+    p, q = a[1].astype(np.int32).astype(np.float64), b[1].astype(np.int32).astype(np.float64)
     shared, total = (p * q).sum(1), (p * p).sum(1) + (q * q).sum(1)
     union = total - shared
     near = np.clip(np.divide(shared, union, out=np.zeros(len(p)), where=union > 0), 0, 1)
@@ -107,7 +112,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             made = [to_string(d, s) for d, s in zip(*vectors(batch.column(1).to_pylist()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=[id_col, "fingerprint"])
 
-    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
+    return spread(docs.select(id_col, text_col)).mapInArrow(lean(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
 def edit(text: str, following: str) -> str:
@@ -116,6 +121,24 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _number(rows: DataFrame, column: str) -> Column:
+    """A number (double) that never falls as the column rises, so that ranges can be cut from it."""
+    kind = rows.schema[column].dataType
+    if isinstance(kind, T.NumericType | T.TimestampType):
+        return F.col(column).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, T.BooleanType):
+        return F.col(column).cast("int").cast("double")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        # Six bytes, from where the least and the greatest first differ.
+        raw = F.col(column).cast("binary")
+        low, high = (bytes(x or b"") for x in rows.agg(F.min(raw), F.max(raw)).first())
+        same = len(os.path.commonprefix([low, high]))
+        return F.conv(F.rpad(F.hex(F.substring(raw, same + 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.lit(0.0)  # one range
+
+
 def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text in ascending order of ids (null last, ties by text), edited with the next one; after the last comes the first.
 
@@ -127,7 +150,7 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.withColumn("_x", F.col("_id").cast("double"))
+    keyed = rows.withColumn("_x", F.when(F.col("_id").isNotNull(), _number(rows, "_id")))
     inner = sorted(set(keyed.select("_x").approxQuantile("_x", [i / n for i in range(1, n)], 1 / (4 * n)) or [0.0]))
     keyed = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="_x", outputCol="_p", handleInvalid="keep").transform(keyed).withColumn("_p", F.coalesce(F.col("_p"), F.lit(len(inner) + 1.0)).cast("int"))
     # One row a range.
@@ -178,4 +201,4 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    return laid.mapInArrow(run, f"`{id_col}` {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return laid.mapInArrow(lean(run), f"`{id_col}` {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
