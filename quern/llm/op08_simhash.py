@@ -13,8 +13,8 @@ choices of five equal ones of eight bytes (three errors spoil three bytes at mos
 link is lost and no crowded key is multiplied out.
 
 A null or empty text, or one of white space, has fingerprint zero, which links like any other. Fewer words than a
-shingle's make one shingle. Repeated rows count each other. Only the id and text are read. Null
-ids have components by the ids that aren't null.
+shingle's make one shingle. A very long text is hashed whole, some thousand shingles at a time. Repeated rows count each other. Only the id and text are read,
+so that other columns may have any name. Null ids have components by the ids that aren't null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import components
-from quern.session import materialise, spread
+from quern.llm.components import components, join_counted
+from quern.llm.workers import lean
+from quern.session import materialise, spread, unused
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 HOT = 4096
@@ -137,7 +138,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             made = np.array([simhash(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=[id_col, "fp"])
 
-    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return spread(docs.select(id_col, text_col)).mapInArrow(lean(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def near_pairs(fps: DataFrame, hot: int = HOT) -> DataFrame:
@@ -159,12 +160,12 @@ def near_pairs(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def _links(made: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From a written table of fingerprints: (fp, n_near) and (fp, label) of those that link to others; a label is a fingerprint of the component."""
+    """From a written table of fingerprints: (fp, n, n_near), n the rows that have it, and (fp, label) of those that link to others; a label is a fingerprint of the component."""
     nodes = materialise(made.groupBy("fp").agg(F.count("*").alias("n")), "nodes")
     pairs = materialise(near_pairs(nodes), "pairs")
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     linked = both.join(nodes.select(F.col("fp").alias("v"), "n"), "v").groupBy("u").agg(F.sum("n").alias("others"))
-    counted = nodes.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
+    counted = nodes.join(linked.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
     return counted, components(pairs).withColumnRenamed("node", "fp")
 
 
@@ -175,13 +176,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     first = made.groupBy("fp").agg(F.min("_id").alias("first")).join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     first = materialise(first, "labelled")
     least = first.groupBy("label").agg(F.min("first").alias("component_id"))
-    per_node = first.join(least, "label").select("fp", "component_id").join(counted, "fp")
-    return made.join(per_node, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+    per_node = materialise(first.join(least, "label").select("fp", "component_id").join(counted, "fp"), "per_node")
+    return join_counted(made, per_node, ["fp"], "n", made.count()).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each component with the smallest id (null last; of equal ids the text with the smallest hash). All columns stay."""
-    hashed = docs.withColumn("_th", F.xxhash64(F.col(text_col)))
+    """The row of each component with the smallest id (null last; of equal ids the text with the smallest hash; of equal rows one). All columns stay, whatever their names."""
+    th, ki, kt = unused(docs, 3)
+    hashed = docs.withColumn(th, F.xxhash64(F.col(f"`{text_col}`")))
 
     def run(batches):
         for batch in batches:
@@ -189,15 +191,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], names=["_id", "_th", "fp"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    made = materialise(spread(hashed.select(id_col, "_th", text_col)).mapInArrow(run, f"_id {id_type}, _th long, fp long"), "fingerprints")
+    made = materialise(spread(hashed.select(F.col(f"`{id_col}`"), F.col(th), F.col(f"`{text_col}`"))).mapInArrow(lean(run), f"_id {id_type}, _th long, fp long"), "fingerprints")
     _, labels = _links(made)
     order = F.struct(F.col("_id").isNull().alias("o"), F.col("_id").alias("i"), F.col("_th").alias("t"))
     per_fp = made.groupBy("fp").agg(F.min(order).alias("first")).join(labels, "fp", "left")
-    chosen = materialise(per_fp.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.i").alias("_ki"), F.col("first.t").alias("_kt")), "chosen")
-    same = (F.col(id_col).eqNullSafe(F.col("_ki"))) & (F.col("_th") == F.col("_kt"))
+    chosen = materialise(per_fp.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.i").alias(ki), F.col("first.t").alias(kt)), "chosen")
+    same = (F.col(f"`{id_col}`").eqNullSafe(F.col(ki))) & (F.col(th) == F.col(kt))
     kept = hashed.join(chosen, same, "left_semi")
-    again = materialise(made.join(chosen, (F.col("_id").eqNullSafe(F.col("_ki"))) & (F.col("_th") == F.col("_kt")), "left_semi").groupBy("_id", "_th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_id").alias("_ki"), F.col("_th").alias("_kt")), "again")
+    again = materialise(made.join(chosen, (F.col("_id").eqNullSafe(F.col(ki))) & (F.col("_th") == F.col(kt)), "left_semi").groupBy("_id", "_th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_id").alias(ki), F.col("_th").alias(kt)), "again")
     if again.isEmpty():
-        return kept.drop("_th")
+        return kept.drop(th)
     # Rows with the same id and text: one of them.
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, "_th"])).drop("_th")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, th])).drop(th)
