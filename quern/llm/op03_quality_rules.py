@@ -5,7 +5,8 @@ length, as short texts compress less; and of its fixed chunks no more than a sha
 outside the band for chunks, so that a repetitive or random stretch inside a long document counts.
 
 A null text counts as empty: no words, so the base rules fail it. Each row is judged by itself;
-repeated rows give repeated results. Only the id and text columns are read.
+repeated rows give repeated results, and a ratio on a limit is within it. A very long text is compressed and counted whole. An empty table gives an
+empty result. Only the id and text columns are read, so that others may have any name.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ with byte fallback one token a byte.
 
 Spaces become the mark U+2581, one is put before the text, and words are counted apart, as the
 tokenizer's pre-tokenizer splits before each mark; counts of words met before are looked up. Null and the empty text count
-0. Each row is counted by itself; other columns are ignored.
+0. A very long text is counted whole, word by word. Each row, repeated or not, is counted by itself; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

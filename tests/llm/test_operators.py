@@ -446,21 +446,39 @@ def brute_lines(rows, least=0.8):
     return occ
 
 
-@pytest.mark.parametrize("sent", [dedup.SENT, -1])
-def test_line_dedup(spark, nothing, monkeypatch, sent):
-    monkeypatch.setattr(dedup, "SENT", sent)
+def family(seed):
+    """Rows with many near copies of a few passages, so that pairs meet at several words and in several places."""
+    r = random.Random(seed)
+    vocab = [f"v{i}" for i in range(150)]
+    base = [r.sample(vocab, r.choice([3, 6, 12, 30, 60])) for _ in range(8)]
+    out = []
+    for _ in range(60):
+        lines = []
+        for _ in range(r.randint(1, 5)):
+            x = list(r.choice(base))
+            for _ in range(r.randint(0, max(1, len(x) // 6))):
+                x[r.randrange(len(x))] = r.choice(vocab)
+            lines.append(" ".join(x[r.randint(0, 1) :]))
+        out.append((0, "\n".join(lines), "en", "s", 0, *"abcdefg"))
+    return out
+
+
+@pytest.mark.parametrize("meet,made", [(dedup.MEET, corpus), (3, corpus), (dedup.MEET, family), (2, family), (9, family)])
+def test_line_dedup(spark, nothing, meet, made):
     # Ids that differ, so that the order of lines is theirs.
-    rows = [(i, *r[1:]) for i, r in enumerate(corpus(4))]
-    out = {r.doc_id: r for r in dedup.report(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    rows = [(i, *r[1:]) for i, r in enumerate(made(4))]
+    out = {r.doc_id: r for r in dedup.report(spark.createDataFrame(rows, SCHEMA).repartition(3), meet=meet).collect()}
     occ = brute_lines(rows)
     n, first = Counter(x for *_, x in occ), {}
     for i, j, x in occ:
         first.setdefault(x, (i, j))
     sets = {x: frozenset(x.split()) for x in n}
     near = {x: [y for y in n if y != x and 9 * len(sets[x] & sets[y]) >= 4 * (len(sets[x]) + len(sets[y]))] for x in n}
-    want = defaultdict(lambda: [[], 0, 0, 0])
+    want = defaultdict(lambda: [[], 0, 0, 0, []])
     for i, j, x in occ:
         w = want[i]
+        if min([first[x], *(first[y] for y in near[x])]) != (i, j):
+            w[4].append("%d:%d" % min([first[x], *(first[y] for y in near[x])]))
         w[3] += n[x] - 1 + sum(n[y] for y in near[x])
         if first[x] != (i, j):
             w[0].append(j)
@@ -471,33 +489,89 @@ def test_line_dedup(spark, nothing, monkeypatch, sent):
     for r in rows:
         w, lines = want[r[0]], 0 if r[1] is None else len(r[1].split("\n"))
         o = out[r[0]]
-        assert (o.n_lines, o.n_kept, o.n_same, o.n_near, o.n_links, o.removed) == (lines, lines - w[1] - w[2], w[1], w[2], w[3], ",".join(map(str, w[0])))
+        assert (o.n_lines, o.n_kept, o.n_same, o.n_near, o.n_links, o.removed, o.matched) == (lines, lines - w[1] - w[2], w[1], w[2], w[3], ",".join(map(str, w[0])), ",".join(w[4]))
     assert any(o.n_near for o in out.values()) and dedup.report(nothing).count() == 0
 
 
-def test_words_met_in_blocks(spark, monkeypatch):
-    df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(corpus(6))], SCHEMA)
-    want = sorted(map(tuple, dedup.links(df)[2].collect()))
-    entries = []
-    whole = dedup._entries
-    monkeypatch.setattr(dedup, "MEET", 3)
-    rarity = np.full(dedup.BUCKETS, 10, np.uint32)
-    texts = [r[1] for r in corpus(6) if r[1]]
+def entries_of(texts, bits):
     import pyarrow as pa
 
     _, lines = dedup._split(pa.array(texts))
-    raw = [x for x in lines.cast(pa.large_binary()).to_pylist()]
-    fresh = [i for i, x in enumerate(raw) if x.strip() and raw.index(x) == i]
-    ordered, n = dedup._ordered(*dedup._words(lines.take(pa.array(fresh))), len(fresh), rarity)
-    keys = [dedup._key(raw[i]) for i in fresh]
-    batch = whole(ordered, n, keys, rarity, 4, 5)
-    assert batch.num_rows == 4 * int(dedup.probe_prefix(n, 4, 5).sum())
-    entries = batch.sort_by("g") if hasattr(batch, "sort_by") else batch
-    order = np.argsort(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(32), kind="stable")
-    entries = batch.take(pa.array(order))
-    met = {(x, y) for made in dedup._named(dedup._meet(4, 5)(entries.slice(i, 50) for i in range(0, entries.num_rows, 50))) for x, y in zip(made.column(0).to_pylist(), made.column(1).to_pylist())}
-    norm = lambda x, y: tuple(sorted((bytes(x), bytes(y))))
-    assert {norm(*p) for p in want} <= {norm(*p) for p in met}
+    raw = lines.cast(pa.large_binary()).to_pylist()
+    fresh, keys = dedup._fresh(raw, set())
+    ordered, n = dedup._ordered(*dedup._words(lines.take(pa.array(fresh))), len(fresh), np.full(dedup.BUCKETS, 10, np.uint32))
+    sets = {int.from_bytes(k[:8], "little", signed=True): frozenset(raw[i].split()) for i, k in zip(fresh, keys)}
+    return *dedup._entries(ordered, n, keys, 4, 5, bits), sets
+
+
+@pytest.mark.parametrize("meet,most", [(10_000, 10_000), (5, 10_000), (5, 40)])
+def test_lines_that_match_meet(meet, most):
+    """Of two matching lines both leave a meeting, in one piece or set aside and met in blocks, whether or not a task holds all of a bucket."""
+    import pyarrow as pa
+
+    e, bucket, sets = entries_of([r[1] for r in family(1)], 3)
+    at = [(x, e[i : min(i + 7, hi)].tobytes()) for x in np.unique(bucket) for lo, hi in [np.searchsorted(bucket, [x, x + 1])] for i in range(lo, hi, 7)]
+    at += at[:: 5]  # met by two tasks
+    at.sort(key=lambda r: r[0])
+    batches = [pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in at[i : i + 4]]), pa.array([d for _, d in at[i : i + 4]], pa.binary())], names=["bucket", "data"]) for i in range(0, len(at), 4)]
+    met, aside = defaultdict(set), []
+    for out in dedup._meet(4, 5, 3, meet, most)(iter(batches)):
+        for r in out.to_pylist():
+            if r["kind"]:
+                aside.append((r["g"], r["data"], r["n"]))
+            else:
+                met[r["g"]].add(r["k"])
+    assert bool(aside) == (meet == 5)
+    if aside:
+        lines = Counter()
+        for g, _, n in aside:
+            lines[g] += n
+        blocks = pa.RecordBatch.from_arrays([pa.array([g for g, *_ in aside]), pa.array([d for _, d, _ in aside], pa.binary()), pa.array([1 + lines[g] // meet for g, *_ in aside])], names=["g", "data", "blocks"])
+        rows = sorted((r for out in dedup._in_blocks([blocks]) for r in out.to_pylist()), key=lambda r: r["place"])
+        laid = pa.RecordBatch.from_pylist(rows, pa.schema([("place", pa.int64()), ("side", pa.int32()), ("data", pa.binary())]))
+        for out in dedup._meet_again(4, 5)(laid.slice(i, 9) for i in range(0, laid.num_rows, 9)):
+            for r in out.to_pylist():
+                met[r["g"]].add(r["k"])
+    pairs = {p for ks in met.values() for p in itertools.combinations(sorted(ks), 2)}
+    want = {tuple(sorted((x, y))) for x, y in itertools.combinations(sets, 2) if 9 * len(sets[x] & sets[y]) >= 4 * (len(sets[x]) + len(sets[y]))}
+    assert want and want <= pairs
+
+
+@pytest.mark.parametrize("matrix", [dedup.MATRIX, 0])
+def test_overlaps(monkeypatch, matrix):
+    monkeypatch.setattr(dedup, "MATRIX", matrix)
+    r = random.Random(3)
+    sets = [r.sample(range(300), r.randint(1, 80)) for _ in range(40)]
+    count = dedup._overlaps(np.concatenate(sets), np.array([len(x) for x in sets]), 300)
+    i, j = np.array(list(itertools.combinations(range(40), 2))).T
+    assert count(i, j).tolist() == [len(set(sets[x]) & set(sets[y])) for x, y in zip(i, j)]
+
+
+def test_tables_of_many_tasks(spark):
+    """Tasks' tables are summed in a tree, up to the largest number that fits."""
+    import pyarrow as pa
+
+    def run(batches):
+        for _ in batches:
+            pass
+        yield dedup._blocks(np.full(4096, 1 << 30, np.uint32), 4096)
+
+    def sums(x, y):
+        return np.minimum(x.view(np.uint32).astype(np.uint64) + y.view(np.uint32), (1 << 32) - 1).astype(np.uint32).view(np.uint8)
+
+    rows = lambda n: spark.range(n).repartition(n).mapInArrow(run, dedup._ROWS)
+    assert set(dedup._merge(rows(3), 4096 * 4, 4096, sums, fan=2).view(np.uint32).tolist()) == {3 << 30}
+    assert set(dedup._merge(rows(9), 4096 * 4, 4096, sums, fan=2).view(np.uint32).tolist()) == {(1 << 32) - 1}
+
+
+def test_removed_lines_in_clashing_columns(spark):
+    text = "\n".join(f"line {i} of some words" for i in range(50))
+    names = [f"_quern{i}" for i in range(4)] + ["_id", "_th", "_rid", "_rth", "_removed", "_text", "number", "k", "kk", "kind"]
+    df = spark.createDataFrame([(1, text, *names), (2, text + "\nlast one here", *names), (2, text + "\nlast one here", *names)], "doc_id long, text string, " + ", ".join(f"`{x}` string" for x in names))
+    out = dedup.remove_lines(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, text), (2, "last one here"), (2, "last one here")]
+    assert all([r[x] for x in names] == names for r in out.collect())
 
 
 def test_removed_lines_leave_the_text(docs, rows, nothing):
