@@ -40,8 +40,23 @@ def chunk_bytes(data: bytes, path: str, limits: Chunking) -> list[Chunk]:
     return text.chunk_text(body, path, language, limits)
 
 
+def chunks_of(made: DataFrame) -> DataFrame:
+    return made.where("error is null").drop("error")
+
+
+def errors_of(made: DataFrame) -> DataFrame:
+    return made.where("error is not null").select("file_path", "error")
+
+
 def chunk_files(files: DataFrame, limits: Chunking) -> tuple[DataFrame, DataFrame]:
-    """(chunks, errors) of ``files`` (file_path, content binary; null content counts as empty). A file that fails gives an error row, and the others go on."""
+    """(chunks, errors) of ``files``. Both read the files; to do so once, write ``chunk_rows``."""
+    made = chunk_rows(files, limits)
+    return chunks_of(made), errors_of(made)
+
+
+def chunk_rows(files: DataFrame, limits: Chunking) -> DataFrame:
+    """The chunks of ``files`` (file_path, content binary; null content counts as empty) with a column ``error``: a file that fails gives a row with its error alone, and the
+    others go on. To be written once, then taken apart by ``chunks_of`` and ``errors_of``."""
     fields = [f.name for f in CHUNK.fields]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CHUNK.fields) + ", error string"
 
@@ -58,5 +73,4 @@ def chunk_files(files: DataFrame, limits: Chunking) -> tuple[DataFrame, DataFram
                 out[n] = out[n].astype("Int32")
             yield out
 
-    made = files.select("file_path", F.col("content").cast("binary").alias("content")).mapInPandas(run, schema)
-    return made.where("error is null").select(*fields), made.where("error is not null").select("file_path", "error")
+    return files.select("file_path", F.col("content").cast("binary").alias("content")).mapInPandas(run, schema)

@@ -14,6 +14,7 @@ from posixpath import dirname, join, normpath
 
 from quern.chunkers.base import Chunk, Maker, greedy
 from quern.config import Chunking
+from quern.errors import IndexingError
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -121,8 +122,8 @@ def _pages(parts: list[tuple[int, str, dict]], make: Maker) -> list[Chunk]:
 def chunk_pdf(data: bytes, path: str, limits: Chunking) -> list[Chunk]:
     try:
         import fitz
-    except ImportError:
-        return []
+    except ImportError as exc:  # the file gets an error row, and is tried again when the package is there
+        raise IndexingError("PDF files need the package PyMuPDF (fitz)") from exc
     make = Maker(path, "pdf", "pdf_page", limits)
     with fitz.open(stream=data, filetype="pdf") as doc:
         about = {"total_pages": len(doc)} | {f"pdf_{k}": v for k in ("title", "author") if (v := (doc.metadata or {}).get(k))}

@@ -12,6 +12,22 @@ from quern.service import IndexService, failure
 from quern.session import get_session
 
 
+def migrate(project: str, dry_run: bool, force: bool) -> dict:
+    """Changes are shown and asked about before they are made, unless forced."""
+    steps = settings.migrate_file(project, dry_run=True)
+    if not steps:
+        return {"status": "up_to_date", "migrations": []}
+    if dry_run:
+        return {"status": "dry_run", "migrations": steps}
+    if not force:
+        for s in steps:
+            print(f"{s['action']} {s['field']}: {s['reason']}", file=sys.stderr)
+        print(f"make these {len(steps)} changes? [y/N] ", end="", file=sys.stderr, flush=True)
+        if sys.stdin.readline().strip().lower() not in ("y", "yes"):
+            return {"status": "cancelled", "migrations": steps}
+    return {"status": "success", "migrations": settings.migrate_file(project)}
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quern", description=__doc__)
     p.add_argument("--master", default=None)
@@ -32,11 +48,12 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--filter-path", dest="path")
             s.add_argument("--rerank", action=argparse.BooleanOptionalAction)
         if name == "migrate":
-            s.add_argument("--dry-run", action="store_true")
+            s.add_argument("--dry-run", action="store_true", help="say what would change")
+            s.add_argument("--force", action="store_true", help="don't ask before the settings are changed")
     a = p.parse_args(argv)
     try:
         if a.action == "migrate":
-            out = {"status": "success", "migrations": settings.migrate_file(a.project, a.dry_run)}
+            out = migrate(a.project, a.dry_run, a.force)
         else:
             service = IndexService(get_session(master=a.master), a.project)
             if a.action == "build":

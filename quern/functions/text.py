@@ -54,9 +54,16 @@ def line_breaks(c: Column) -> Column:
 def terms(c: Column) -> Column:
     """The words of a text as the keyword index has them: ASCII letters and digits, camel case and
     snake case split, lower-cased, of two signs or more, without stop words. Null gives none."""
-    split = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), "([a-z])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+")
-    low = F.transform(split, F.lower)
-    return F.filter(low, lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
+    return F.filter(F.transform(pieces(c), F.lower), is_term)
+
+
+def pieces(c: Column) -> Column:
+    """What the words are picked from: runs of letters and digits, camel case split."""
+    return F.split(F.regexp_replace(F.coalesce(c, F.lit("")), "([a-z])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+")
+
+
+def is_term(t: Column) -> Column:
+    return (F.length(t) >= 2) & ~t.isin(*STOP_WORDS)
 
 
 def terms_of(text: str) -> list[str]:

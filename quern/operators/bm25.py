@@ -15,17 +15,19 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import terms, terms_of
+from quern.functions.text import is_term, pieces, terms, terms_of
+from quern.session import materialise
 
 K1, B = 1.5, 0.75
 
 
 def tokens(chunks: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """(id, term) for each occurrence; documents without terms once with a null term.
+    """(id, term) for each word; a null term for what isn't one, so that every document has a row.
 
-    The array is made once and exploded, so that the rest stays in flat generated code.
+    The text is split and exploded at once, so that words are tested in generated code.
     """
-    return chunks.select(F.col(id_col).alias("id"), F.explode_outer(terms(F.col(text_col))).alias("term"))
+    raw = chunks.select(F.col(id_col).alias("id"), F.explode(pieces(F.col(text_col))).alias("_w")).withColumn("_w", F.lower("_w"))
+    return raw.select("id", F.when(is_term(F.col("_w")), F.col("_w")).alias("term"))
 
 
 def postings(toks: DataFrame) -> DataFrame:
@@ -75,13 +77,14 @@ def scan_score(query: str, chunks: DataFrame, id_col: str = "id", text_col: str
     """``score`` straight from the texts, without postings: (id, raw).
 
     One pass makes each document's length and its counts of the query's terms; no term crosses the
-    network. The counts of documents are sums over that narrow table, which is kept between.
+    network. The counts of documents are sums over that narrow table, which is written between.
     """
     wanted = Counter(terms_of(query))
     narrow = chunks.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("_t"))
-    # What a term's removal takes from the array is its count.
+    met = narrow.select("id", F.size("_t").alias("dl"), F.filter("_t", lambda t: t.isin(*wanted) if wanted else F.lit(False)).alias("_t"))
+    # What a term's removal takes from the few that were met is its count.
     tf = [(F.size("_t") - F.size(F.array_remove("_t", t))).alias(f"_tf{i}") for i, t in enumerate(wanted)]
-    rows = narrow.select("id", F.size("_t").alias("dl"), *tf).persist()
+    rows = materialise(met.select("id", "dl", *tf), "counts")
     sums = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("len"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(wanted))]).first()
     if not wanted or not sums["len"]:
         return rows.where("false").select("id", F.lit(0.0).alias("raw"))

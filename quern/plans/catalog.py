@@ -11,12 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import config as settings
+from quern import schema
 from quern.chunkers.dispatch import chunk_files
 from quern.config import Chunking
+from quern.functions import embed
 from quern.functions import text as tx
 from quern.operators import bm25, changes, fusion, rerank, vector
-from quern.plans.search import combine
-from quern.session import spread
+from quern.plans import index
+from quern.plans.search import Query, combine, search
+from quern.session import new_path, spread
+from quern.sources.ignore import Rules
+from quern.sources.scan import admits
+from quern.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,6 +63,44 @@ def _vector0(spark: SparkSession, sf: str) -> list[float]:
     return list(_embeddings(spark, sf).where("vec_id = 0").first()["embedding"])
 
 
+#: Indexes of the tables, written once in a session: (application, folder) -> path.
+_built: dict[tuple[str, str], str] = {}
+
+
+def _store(spark: SparkSession, sf: str) -> Store:
+    """The documents as a stored index, a chunk each; those without an embedding have a vector of zeros, which no search finds. The manifest is ``_manifest``'s."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _built:
+        store = Store(spark, new_path(spark, "catalog"))
+        width = len(_vector0(spark, sf))
+        vectors = _embeddings(spark, sf).select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+        rows = _chunks(spark, sf).withColumn("id", F.col("id").cast("string"))
+        rows = rows.withColumns({"start_line": F.lit(1), "end_line": F.lit(1), "chunk_type": F.lit("unknown"), "symbol_name": F.lit(""), "token_count": F.lit(0), "metadata": F.lit(None)})
+        chunks = rows.join(vectors, "id", "left").withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0).cast("float"), width)))
+        manifest = _manifest(spark, sf).withColumns({"last_indexed": F.timestamp_seconds(F.lit(0)), "chunk_count": F.lit(1), "file_size_bytes": F.lit(0)})
+        store.write({"chunks": chunks.select(*schema.STORED.fieldNames()), "manifest": manifest} | store.keyword_tables(rows.select("id", "content")))
+        _built[key] = store.path
+    return Store(spark, _built[key])
+
+
+class _First(embed.Provider):
+    """Whatever the query: the first vector of the table."""
+
+    vector: list[float] = []
+
+    def embed(self, texts):
+        return [self.vector for _ in texts]
+
+
+def _found(spark: SparkSession, sf: str, **options) -> DataFrame:
+    """A search of the stored index for ``WORDS``."""
+    first = _vector0(spark, sf)
+    provider = type("First", (_First,), {"vector": first})
+    embed.register("first", provider)
+    config = settings.Config(embedding=settings.Embedding(provider="first", dimensions=len(first)))
+    return search(_store(spark, sf), Query(WORDS, **options), config)
+
+
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 _TOKENS = f"""tok AS (SELECT doc_id, lower(w) AS term FROM (
   SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+')) AS w FROM documents)
@@ -121,10 +166,21 @@ def bm25_search_topk(spark, sf):
 
 @query(_bm25_sql(WORDS) + " SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 10")
 def bm25_search_postings(spark, sf):
-    docs = _docs(spark, sf)
-    lengths = bm25.lengths(docs, "doc_id", "text")
-    post = bm25.postings(bm25.tokens(docs, "doc_id", "text"))
-    return bm25.search(WORDS, post, lengths, bm25.corpus_stats(lengths), 10).select("id", "score")
+    """From the stored postings: the folders of the query's terms alone are opened."""
+    store = _store(spark, sf)
+    found = bm25.search(WORDS, store.query_postings(tx.terms_of(WORDS)).withColumn("id", F.col("id").cast("long")), store.read("docs").withColumn("id", F.col("id").cast("long")), store.read("stats"), 10)
+    return found.select("id", "score")
+
+
+_TEXT_ID = "CAST(id AS VARCHAR) AS id"
+
+
+@query(_bm25_sql(WORDS, "regexp_matches(concat(d.source, '/', d.doc_id, '.txt'), '^src1[^/]*/.+$') AND d.lang = 'en'") + f"""
+SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, id, score, file_path, language FROM (
+  SELECT * FROM (SELECT {_TEXT_ID}, score, file_path, language FROM bm ORDER BY score DESC, id LIMIT 40) WHERE score >= 2 ORDER BY score DESC, id LIMIT 20)""")
+def search_keyword(spark, sf):
+    """The whole search of the stored index: filters, over-fetch, threshold, cut and ranks."""
+    return _found(spark, sf, mode="keyword", top_k=20, threshold=2.0, language="en", path=GLOB).select("rank", "id", "score", "file_path", "language")
 
 
 @query(_bm25_sql(TWICE) + " SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20")
@@ -175,6 +231,17 @@ def vector_scores(spark, sf):
     return e.select(F.col("vec_id").alias("id"), F.round(vector.cosine(F.col("embedding"), _vector0(spark, sf)), 4).alias("score"))
 
 
+_VEC_DOCS = """vd AS (SELECT CAST(v.id AS VARCHAR) AS id, v.score, d.lang AS language, concat(d.source, '/', d.doc_id, '.txt') AS file_path, d.text AS content
+  FROM vec v JOIN documents d ON d.doc_id = v.id WHERE v.score IS NOT NULL)"""
+
+
+@query(f"""WITH {_VEC}, {_VEC_DOCS}
+SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, id, score, file_path, language FROM (
+  SELECT * FROM (SELECT * FROM vd WHERE language = 'de' ORDER BY score DESC, id LIMIT 40) WHERE score >= 0.1 ORDER BY score DESC, id LIMIT 20)""")
+def search_vector(spark, sf):
+    return _found(spark, sf, mode="vector", top_k=20, threshold=0.1, language="de").select("rank", "id", "score", "file_path", "language")
+
+
 # Fusion
 
 
@@ -183,12 +250,12 @@ def _lists(spark, sf, n=20):
     return v, _bm25(spark, sf, WORDS).select("id", "score").orderBy(F.desc("score"), "id").limit(n)
 
 
-def _rrf_sql(alpha: float, limit: str = "", n: int = 20, keyword: str | None = None) -> str:
+def _rrf_sql(alpha: float, limit: str = "", n: int | None = 20, keyword: str | None = None) -> str:
     own = keyword or f"(SELECT id, score FROM bm ORDER BY score DESC, id LIMIT {n})"
     return (
         _bm25_sql(WORDS)
         + f""", {_VEC},
-v AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT id, score FROM vec ORDER BY score DESC, id LIMIT {n})),
+v AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT id, score FROM vec{f" ORDER BY score DESC, id LIMIT {n}" if n else " WHERE score IS NOT NULL"})),
 b AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM {own})
 SELECT coalesce(v.id, b.id) AS id, round(coalesce({alpha}::DOUBLE / (60 + v.r), 0) + coalesce((1 - {alpha})::DOUBLE / (60 + b.r), 0), 6) AS fused_score,
   v.score AS vector_score, b.score AS bm25_score FROM v FULL OUTER JOIN b ON v.id = b.id {limit}"""
@@ -207,9 +274,9 @@ for _name, _alpha in (("rrf_hybrid_full", 0.7), ("rrf_alpha_0", 0.0), ("rrf_alph
     QUERIES[_name], SQL[_name] = _fused(_alpha), _rrf_sql(_alpha)
 
 
-@query(_rrf_sql(0.7, keyword="(SELECT id, 10 - score AS score FROM vec WHERE score IS NOT NULL ORDER BY 10 - score DESC, id LIMIT 2000)", n=2000))
+@query(_rrf_sql(0.7, keyword="(SELECT id, 10 - score AS score FROM vec WHERE score IS NOT NULL)", n=None))
 def rrf_overlap(spark, sf):
-    """Both lists hold each vector, in opposite orders, so that every score is a sum. The SQL says the same of 2,000 vectors at most."""
+    """Both lists hold each vector, in opposite orders, so that every score is a sum."""
     e = _embeddings(spark, sf).withColumnRenamed("vec_id", "id")
     v = vector.search(e, _vector0(spark, sf), None, vector_col="embedding").select("id", "score")
     b = v.select("id", (10 - F.col("score")).alias("score"))
@@ -235,6 +302,29 @@ def rerank_overlap(spark, sf):
     return best.orderBy(F.desc("rerank_score"), F.desc("score"), "id").limit(10).select("id", "rerank_score")
 
 
+_HYBRID = (
+    _bm25_sql(WORDS, "d.lang = 'en'")
+    + f""", {_VEC}, {_VEC_DOCS},
+v AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT * FROM vd WHERE language = 'en' ORDER BY score DESC, id LIMIT 40)),
+b AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT CAST(id AS VARCHAR) AS id, score, language, file_path, content FROM bm ORDER BY score DESC, id LIMIT 40)),
+f AS (SELECT coalesce(v.id, b.id) AS id, round(coalesce(0.5::DOUBLE / (60 + v.r), 0) + coalesce(0.5::DOUBLE / (60 + b.r), 0), 6) AS score,
+  v.score AS vector_score, b.score AS bm25_score, coalesce(v.content, b.content) AS content FROM v FULL OUTER JOIN b ON v.id = b.id),
+best AS (SELECT * FROM f ORDER BY score DESC, id LIMIT 20)"""
+)
+
+
+@query(_HYBRID + " SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, id, score, vector_score, bm25_score FROM best")
+def search_hybrid(spark, sf):
+    return _found(spark, sf, mode="hybrid", top_k=20, alpha=0.5, language="en").select("rank", "id", "score", "vector_score", "bm25_score")
+
+
+@query(_HYBRID + """, words AS (SELECT DISTINCT best.id, t.term FROM best JOIN tok t ON CAST(t.doc_id AS VARCHAR) = best.id WHERE t.term IN (SELECT term FROM q)),
+again AS (SELECT id, score, round((SELECT count(*) FROM words w WHERE w.id = best.id) / (SELECT count(*) FROM q)::DOUBLE, 4) AS rerank_score FROM best)
+SELECT row_number() OVER (ORDER BY rerank_score DESC, score DESC, id) AS rank, id, rerank_score AS score FROM (SELECT * FROM again ORDER BY rerank_score DESC, score DESC, id LIMIT 10)""")
+def search_hybrid_reranked(spark, sf):
+    return _found(spark, sf, mode="hybrid", top_k=20, alpha=0.5, language="en", rerank=True).select("rank", "id", "score")
+
+
 # Ids, cache, change detection, files
 
 
@@ -245,8 +335,12 @@ def chunk_ids(spark, sf):
 
 @query("SELECT lang, count(*) AS chunks, count(DISTINCT text) AS to_embed, count(*) - count(DISTINCT text) AS cache_hits FROM documents GROUP BY lang")
 def content_dedup_cache_hits(spark, sf):
-    d = _docs(spark, sf).select("lang", tx.sha256_id(F.col("text")).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
-    return d.groupBy("lang").agg(F.sum("n").alias("chunks"), F.count("*").alias("to_embed"), F.sum(F.col("n") - 1).alias("cache_hits"))
+    """Through the cache itself: what ``embed_chunks`` embeds anew, and what it would find."""
+    rows = _docs(spark, sf).select("lang", F.col("text").alias("content"))
+    empty = spark.createDataFrame([], schema.CACHE)
+    keyed, new = embed.embed_chunks(rows, empty, settings.Embedding(dimensions=8))
+    met = keyed.join(new.select("content_hash"), "content_hash").groupBy("lang", "content_hash").agg(F.count("*").alias("n"))
+    return met.groupBy("lang").agg(F.sum("n").alias("chunks"), F.count("*").alias("to_embed"), F.sum(F.col("n") - 1).alias("cache_hits"))
 
 
 def _manifest(spark, sf):
@@ -295,10 +389,27 @@ def language_histogram(spark, sf):
 (SELECT count(*) FROM diff WHERE change IN ('new', 'changed')) AS stale_files, (SELECT count(*) FROM diff WHERE change = 'deleted') AS deleted_files,
 (SELECT count(DISTINCT lang) FROM documents) AS languages""")
 def index_status(spark, sf):
-    old = _manifest(spark, sf)
-    diff = changes.changes(_files(spark, sf), old).agg(F.count_if(F.col("change").isin("new", "changed")).alias("stale_files"), F.count_if(F.col("change") == "deleted").alias("deleted_files"))
-    chunks = _chunks(spark, sf).agg(F.count("*").alias("total_chunks"), F.countDistinct("language").alias("languages"))
-    return old.agg(F.count("*").alias("total_files")).join(chunks).join(diff).select("total_files", "total_chunks", "stale_files", "deleted_files", "languages")
+    """What the stored index says of itself."""
+    found = index.status(_store(spark, sf), _files(spark, sf), settings.Config())
+    row = (found["total_files"], found["total_chunks"], found["stale_files"], found["deleted_files"], len(found["languages"]))
+    return spark.createDataFrame([row], "total_files long, total_chunks long, stale_files long, deleted_files long, languages long")
+
+
+_BYTES = "octet_length(encode(text))"
+
+
+@query(f"SELECT concat(source, '/', doc_id, '.txt') AS file_path, concat('sha256:', sha256(text)) AS hash, {_BYTES} AS file_size_bytes FROM documents")
+def index_update(spark, sf):
+    """The manifest after a build of other files (some texts differ, some files are gone since, some are new) and an update."""
+    store = Store(spark, new_path(spark, "updated"))
+    config = settings.Config(embedding=settings.Embedding(dimensions=8), chunking=Chunking(min_tokens=1))
+    as_files = lambda d: d.select("file_path", F.col("text").cast("binary").alias("content"), tx.sha256_id(F.col("text")).alias("hash"), F.octet_length("text").cast("long").alias("file_size_bytes"))
+    now = _docs(spark, sf).select(_path().alias("file_path"), "text", "source")
+    was = now.where("source != 'src3'").withColumn("text", F.when(F.col("source") == "src5", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    gone = now.where("source = 'src7'").withColumn("file_path", F.concat(F.lit("old/"), "file_path"))
+    for files in (was.unionByName(gone), now):
+        index.build(spark, store, as_files(files), config)
+    return store.read("manifest").select("file_path", "hash", "file_size_bytes")
 
 
 _EXT = "CASE lang WHEN 'en' THEN 'PY' WHEN 'de' THEN 'tsx' WHEN 'fr' THEN 'h' ELSE 'xyz' END"
@@ -314,9 +425,29 @@ def lang_detect(spark, sf):
 @query("""SELECT doc_id, octet_length(encode(text)) AS size_bytes FROM documents
 WHERE octet_length(encode(text)) <= CASE WHEN lang = 'fr' THEN 16 * 1024 ELSE 2 * 1024 END""")
 def size_filter(spark, sf):
-    """Office files (here: French texts) have a limit of their own."""
-    d = _docs(spark, sf).withColumn("size_bytes", F.octet_length("text").cast("long"))
-    return d.where(F.col("size_bytes") <= F.when(F.col("lang") == "fr", 16 * 1024).otherwise(2 * 1024)).select("doc_id", "size_bytes")
+    """Office files (here: French texts) have a limit of their own. By the scan's own test."""
+    limits = settings.Indexing(max_file_size_kb=2, max_office_file_size_kb=16)
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("lang") == "fr", ".docx").otherwise(".txt"))
+    d = _docs(spark, sf).select("doc_id", F.octet_length("text").cast("long").alias("size_bytes"), name.alias("file_path"))
+    return _admitted(d, [], limits).select("doc_id", "size_bytes")
+
+
+def _admitted(files: DataFrame, rules: list[Rules], limits: settings.Indexing) -> DataFrame:
+    """Rows (file_path, size_bytes and more) that a scan takes."""
+
+    def run(frames):
+        for frame in frames:
+            yield frame[[admits(p, int(n), rules, limits) for p, n in zip(frame["file_path"], frame["size_bytes"])]]
+
+    return files.mapInPandas(run, files.schema)
+
+
+@query(f"""SELECT concat(source, '/', doc_id, '.txt') AS file_path, {_BYTES} AS size_bytes FROM documents
+WHERE NOT (source = 'src3' AND doc_id % 10 <> 7) AND NOT regexp_matches(concat(source, '/', doc_id, '.txt'), '/[0-9]*5[.]txt$') AND source <> 'src11' AND {_BYTES} <= 500 * 1024""")
+def ignore_rules(spark, sf):
+    """Patterns of ignore files, the last that matches counting."""
+    d = _docs(spark, sf).select(_path().alias("file_path"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return _admitted(d, [Rules(["src3/*", "!src3/*7.txt", "*5.txt", "src11/**"])], settings.Indexing())
 
 
 @query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS end_line, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n_stripped FROM documents")

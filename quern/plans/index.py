@@ -3,67 +3,81 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern import schema
-from quern.chunkers.dispatch import chunk_files
+from quern.chunkers.dispatch import chunk_rows, chunks_of, errors_of
 from quern.config import Config
 from quern.functions.embed import embed_chunks
 from quern.operators import bm25
-from quern.operators.changes import changes, next_manifest
-from quern.session import materialise
-from quern.sources.scan import scan
+from quern.operators.changes import changes
+from quern.session import Scratch
+from quern.sources.scan import read_files, scan
 from quern.store import Store
 
 
-def build(spark: SparkSession, store: Store, files: DataFrame, config: Config, full: bool = False) -> dict:
-    """Bring ``store`` up to date with ``files`` (file_path, hash, file_size_bytes, content).
+def build(spark: SparkSession, store: Store, files: DataFrame, config: Config, full: bool = False, contents: Callable[[DataFrame], DataFrame] | None = None, partial: bool = False) -> dict:
+    """Bring ``store`` up to date with ``files`` (file_path, hash, file_size_bytes, and content unless ``contents`` reads it).
 
-    Only files whose hash is new are chunked and embedded; the manifest holds the hash of the bytes
-    that were chunked. Rows of files that changed or are gone leave every table. ``full`` starts
-    afresh: nothing of an older index but its cache of vectors is kept. All tables change
-    together, when the new generation is complete.
+    Only files whose hash is new are read, chunked and embedded; the manifest holds the hash of the bytes
+    that were chunked. ``contents`` gives for paths (file_path) the same columns and the content. An update writes what is new
+    and the names of what is gone; ``full`` starts
+    afresh: nothing of an older index but its cache of vectors is kept. ``partial``: files that aren't among ``files`` stay.
+    All tables change together, when the new generation is complete.
     """
+    with Scratch(spark) as scratch:
+        return _build(scratch.table, store, files, config, full, contents, partial)
+
+
+def _build(table: Callable[[DataFrame, str], DataFrame], store: Store, files: DataFrame, config: Config, full: bool, contents, partial: bool) -> dict:
     began = time.time()
-    manifest = store.read("manifest")
     here = files.where("hash is not null")
-    diff = materialise(changes(here, manifest, full), "diff")
+    if contents is None:
+        here = table(here, "files")
+    manifest = store.read("manifest")
+    if partial:
+        manifest = manifest.join(here.select("file_path"), "file_path", "left_semi")
+    diff = table(changes(here, manifest, full), "diff")
     counts = {r["change"]: r["n"] for r in diff.groupBy("change").agg(F.count("*").alias("n")).collect()}
-    todo, gone = diff.where("change in ('new', 'changed')"), diff.where("change = 'deleted'")
-    if not full and not counts.get("new", 0) + counts.get("changed", 0) + counts.get("deleted", 0) and store.has("chunks") and store.has("postings"):
+    complete = store.known("chunks") and store.known("postings") and store.known("docs")
+    if not full and complete and not counts.get("new", 0) + counts.get("changed", 0) + counts.get("deleted", 0):
         return {"status": "up_to_date", "files_indexed": 0, "files_deleted": 0, "files_unchanged": counts.get("unchanged", 0), "chunks_created": 0, "duration_seconds": round(time.time() - began, 2)}
-    picked = here.join(todo.select("file_path"), "file_path", "left_semi")
-    made, errors = chunk_files(picked, config.chunking)
-    made, errors = materialise(made, "chunks"), materialise(errors, "errors")
+    todo = diff.where("change in ('new', 'changed')").select("file_path")
+    picked = here.join(todo, "file_path", "left_semi") if contents is None else table(contents(todo), "contents").where("hash is not null")
+    # Chunks and errors come from one pass.
+    both = table(chunk_rows(picked, config.chunking), "chunks")
+    made, errors = chunks_of(both), errors_of(both)
     cache = store.read("cache")
     keyed, new = embed_chunks(made, cache, config.embedding)
-    new = materialise(new, "vectors")
+    new = table(new, "vectors")
     own = cache.where((F.col("model") == config.embedding.model) & (F.col("dimensions") == config.embedding.dimensions))
     vectors = own.unionByName(new).select("content_hash", "vector")
-    fresh = materialise(store.check_vectors(keyed.join(vectors, "content_hash", "left").drop("content_hash")), "stored")
-
-    left = diff.where("change != 'unchanged'").select("file_path")
-    old = store.read("chunks").select(*schema.STORED.fieldNames())
-    kept = old.where("false") if full else old.join(left, "file_path", "left_anti")
-    tables = {"chunks": kept.unionByName(fresh)}
-    if full or not (store.has("postings") and store.has("docs")):
-        # From the texts: there is nothing to update, or vectors without a keyword index.
-        tables |= store.keyword_tables(tables["chunks"].select("id", "content"))
-    else:
-        ids = old.join(left, "file_path", "left_semi").select("id").unionByName(fresh.select("id")).distinct()
-        part = store.keyword_tables(fresh.select("id", "content"))
-        for name in ("postings", "docs"):
-            tables[name] = store.read(name).select(*part[name].columns).join(ids, "id", "left_anti").unionByName(part[name])
-        tables["stats"] = bm25.corpus_stats(tables["docs"])
+    fresh = table(store.check_vectors(keyed.join(vectors, "content_hash", "left").drop("content_hash")), "stored")
     per_file = fresh.groupBy("file_path").agg(F.count("*").cast("int").alias("chunk_count"))
     rows = picked.select("file_path", "hash", "file_size_bytes").join(per_file, "file_path", "left").select("file_path", "hash", F.current_timestamp().alias("last_indexed"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "file_size_bytes")
     # A file that failed is tried again next time.
     rows = rows.join(errors.select("file_path"), "file_path", "left_anti")
-    tables["manifest"] = rows if full else next_manifest(manifest, rows, gone.unionByName(errors.select("file_path", F.lit("changed").alias("change"))))
-    tables["cache"] = own.unionByName(new)
-    store.write(tables)
+    if full:
+        tables = {"chunks": fresh, "manifest": rows, "cache": own.unionByName(new)} | store.keyword_tables(fresh.select("id", "content"))
+        store.write(tables)
+    else:
+        left = diff.where("change != 'unchanged'").select("file_path")
+        old = store.read("chunks").select("id", "file_path")
+        ids = table(old.join(left, "file_path", "left_semi").select(F.col("id").alias("key")), "gone")
+        more, tables = {"chunks": fresh, "manifest": rows, "cache": new}, {}
+        part = store.keyword_tables(fresh.select("id", "content"))
+        if store.known("postings") and store.known("docs"):
+            more |= {n: part[n] for n in ("postings", "docs")}
+            docs = store.read("docs").join(ids.withColumnRenamed("key", "id"), "id", "left_anti").unionByName(part["docs"])
+            tables["stats"] = bm25.corpus_stats(docs)
+        else:
+            # Chunks without a keyword index: it is made from all of them.
+            kept = store.read("chunks").join(left, "file_path", "left_anti")
+            tables |= store.keyword_tables(kept.select("id", "content").unionByName(fresh.select("id", "content")))
+        store.write(tables, more, {"id": ids, "file_path": left.withColumnRenamed("file_path", "key")})
+        store.compact()
     return {
         "status": "success",
         "files_indexed": counts.get("new", 0) + counts.get("changed", 0),
@@ -76,15 +90,16 @@ def build(spark: SparkSession, store: Store, files: DataFrame, config: Config, f
     }
 
 
-def build_project(spark: SparkSession, project: str, store: Store, config: Config, full: bool = False) -> dict:
-    """Scan a folder and build. The contents are written once, so that hash and chunks are of the same bytes."""
-    files = materialise(scan(spark, project, config.indexing, content=True), "files")
-    return build(spark, store, files, config, full)
+def build_project(spark: SparkSession, project: str, store: Store, config: Config, full: bool = False, batch_size: int | None = None) -> dict:
+    """Scan a folder and build. Every file is hashed where it lies; those to be indexed are read once more, and what was read
+    then is hashed and chunked. ``batch_size``: files that one task takes at most."""
+    files = scan(spark, project, config.indexing)
+    return build(spark, store, files, config, full, lambda paths: read_files(spark, project, paths, batch_size))
 
 
 def bootstrap_keywords(store: Store) -> bool:
     """Make the keyword tables of an index that has chunks alone."""
-    if store.has("postings") or not store.has("chunks"):
+    if store.known("postings") or not store.has("chunks"):
         return False
     store.write(store.keyword_tables(store.read("chunks").select("id", "content")))
     return True
@@ -96,7 +111,7 @@ def status(store: Store, files: DataFrame, config: Config) -> dict:
     diff = {r["change"]: r["n"] for r in changes(files.where("hash is not null"), manifest).groupBy("change").agg(F.count("*").alias("n")).collect()}
     top = manifest.agg(F.count("*").alias("n"), F.max("last_indexed").alias("at")).first()
     return {
-        "indexed": store.has("chunks") and not chunks.isEmpty(),
+        "indexed": store.has("chunks"),
         "total_files": top["n"],
         "total_chunks": chunks.count(),
         "last_indexed": top["at"].isoformat() if top["at"] else None,

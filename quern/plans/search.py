@@ -63,6 +63,11 @@ def combine(found_v: DataFrame | None, found_b: DataFrame | None, mode: str, alp
     return fusion.fuse(found_v, found_b, alpha), True
 
 
+def _short(hits: DataFrame) -> DataFrame:
+    """A list of a few rows, as it now is."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+
+
 def search(store: Store, q: Query, config: Config) -> DataFrame:
     """rank, score and the hit's columns; after fusion also vector_score and bm25_score, after reranking rerank_score.
 
@@ -73,10 +78,10 @@ def search(store: Store, q: Query, config: Config) -> DataFrame:
     top_k, mode = q.top_k or s.default_top_k, q.mode or s.mode
     threshold = s.default_threshold if q.threshold is None else q.threshold
     alpha = s.hybrid_alpha if q.alpha is None else q.alpha
-    has_chunks, has_words = store.has("chunks"), store.has("postings")
+    has_chunks, has_words = store.has("chunks"), store.known("postings")
     if mode != "keyword" and not has_chunks:
         raise QuernError("there is no index; build it first")
-    if mode == "keyword" and not has_words:
+    if mode == "keyword" and not (has_words and has_chunks):
         raise QuernError("there is no keyword index; build it first")
     chunks = store.read("chunks")
     where = filters(q)
@@ -86,9 +91,9 @@ def search(store: Store, q: Query, config: Config) -> DataFrame:
     if mode != "vector" and has_words:
         found_b = bm25.search(q.text, store.query_postings(terms_of(q.text)), store.read("docs"), store.read("stats"), 2 * top_k, where, chunks.select(*HIT))
     if mode == "hybrid":
-        # At most 2 * top_k rows each, read three times below.
-        found_v = found_v.persist()
-        found_b = found_b.persist() if found_b is not None else None
+        # At most 2 * top_k rows each, 200 in all, read three times below.
+        found_v = _short(found_v)
+        found_b = _short(found_b) if found_b is not None else None
     merged, fused = combine(found_v, found_b, mode, alpha, s.fallback)
     score = "fused_score" if fused else "score"
     if mode != "hybrid":
@@ -97,7 +102,7 @@ def search(store: Store, q: Query, config: Config) -> DataFrame:
     if s.rerank_enabled if q.rerank is None else q.rerank:
         best = rerank(best, q.text, s.rerank_top_n, s.rerank_model, F.desc(score))
         order = [F.desc("rerank_score"), F.desc(score), F.col("id")]
-        final = F.col("rerank_score")
+        final = F.coalesce("rerank_score", score)
     else:
         order, final = [F.desc(score), F.col("id")], F.col(score)
     extra = [c for c in ("vector_score", "bm25_score", "rerank_score") if c in best.columns]

@@ -11,6 +11,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.errors import ConfigError
+
 
 def get_session(app: str = "quern", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every plan here assumes: UTC and adaptive execution."""
@@ -33,13 +35,15 @@ def get_session(app: str = "quern", master: str | None = None, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without that setting (tests, one machine) gets a folder of its own.
+    Only a session without that setting on one machine (tests) gets a folder of its own; on a cluster its lack is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     sc = spark.sparkContext
     if (own := sc.getCheckpointDir()) is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ConfigError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-"))
         own = sc.getCheckpointDir()
     return own.rstrip("/")
@@ -54,7 +58,10 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
     The table outlives any executor, and each later reader takes only the columns it needs.
     """
-    path = new_path(df.sparkSession, name)
+    return written(df, new_path(df.sparkSession, name), partition_by)
+
+
+def written(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -62,6 +69,24 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables for as long as one job needs them: written to the shared folder, and deleted at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(path := new_path(self.spark, name))
+        return written(df, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through the cluster's own file system client."""
     jvm, sc = spark._jvm, spark.sparkContext

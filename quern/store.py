@@ -1,20 +1,24 @@
-"""An index as generations of Parquet tables.
+"""An index as segments of Parquet tables.
 
-A folder holds ``gen-N/<table>`` and a pointer, ``CURRENT``. A new generation is written beside
-the one that is read, and the pointer moves when all its tables are there: readers see the old
-index or the new one, and a build that dies leaves the old one in place. Tables that don't change
-are named in the pointer where they lie and aren't copied.
+A folder holds ``gen-N/<table>`` and pointers, ``pointer-N.json``. A write makes a new generation beside
+those that are read, and then a pointer that names the segments of every table; pointers are
+renamed into place and never overwritten, so that readers see the old index or the new one, and a
+write that dies at any point leaves the old one. An update adds segments of what is new, and names
+the rows of older segments that are gone; a reader leaves those out. When segments become many
+they are written as one.
 
-    chunks     the stored chunks with vectors, by file_bucket; postings  term, id, tf by term_bucket
-    docs       id, dl; stats  n_docs, total_len; manifest; cache
+    chunks     the stored chunks with vectors; postings  term, id, tf by term_bucket
+    docs       id, dl; stats  n_docs, total_len; manifest; cache; gone  key
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,13 +28,16 @@ from quern.errors import IndexingError
 from quern.operators import bm25
 from quern.session import remove
 
-#: Buckets of the postings by term, and of the chunks by path.
-TERM_BUCKETS, FILE_BUCKETS = 64, 16
+#: Buckets of the postings by term; segments of a table beyond which an update writes it as one.
+TERM_BUCKETS, SEGMENTS = 64, 8
 _SCHEMAS = {"chunks": schema.STORED, "manifest": schema.MANIFEST, "cache": schema.CACHE}
 _POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", T.StringType()), T.StructField("tf", T.IntegerType())])
 _DOCS = T.StructType([T.StructField("id", T.StringType()), T.StructField("dl", T.IntegerType())])
 _STATS = T.StructType([T.StructField("n_docs", T.LongType()), T.StructField("total_len", T.LongType())])
 _SCHEMAS |= {"postings": _POSTINGS, "docs": _DOCS, "stats": _STATS}
+#: By which column rows of a table are named as gone.
+_KEYS = {"chunks": "id", "postings": "id", "docs": "id", "manifest": "file_path"}
+_NAMES = re.compile(r"(?:gen-|pointer-)(\d+)(?:\.json)?")
 
 
 def term_bucket(term: str) -> int:
@@ -43,31 +50,63 @@ class Store:
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _p(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def pointer(self) -> dict:
-        """{"generation": n, "tables": {name: folder}}; generation 0 is an index without tables. A pointer that can't be read counts as none."""
-        if not self._fs.exists(self._p("CURRENT")):
-            return {"generation": 0, "tables": {}}
-        rows = self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()
+    def _names(self) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._p(""))] if self._fs.exists(self._p("")) else []
+
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._p(name))
         try:
-            out = json.loads(rows[0])
-            return out if isinstance(out["tables"], dict) else {"generation": 0, "tables": {}}
-        except (TypeError, ValueError, KeyError):
-            return {"generation": 0, "tables": {}}
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def pointer(self) -> dict:
+        """{"generation": n, "tables": {name: [[generation, folder], ...]}, "gone": {column: [[generation, folder], ...]}}: the newest
+        that can be read. Generation 0 is an index without tables."""
+        pointers = sorted((int(m[1]), n) for n in self._names() if n.startswith("pointer-") and n.endswith(".json") and (m := _NAMES.fullmatch(n)))
+        for _, name in reversed(pointers):
+            try:
+                out = json.loads(self._text(name))
+                if isinstance(out["tables"], dict) and isinstance(out["gone"], dict):
+                    return out
+            except (TypeError, ValueError, KeyError, Py4JJavaError):
+                continue
+        return {"generation": 0, "tables": {}, "gone": {}}
 
     def has(self, table: str) -> bool:
+        """Whether the index has the table, with a row or more."""
+        return table in self.pointer()["tables"] and not self.read(table).isEmpty()
+
+    def known(self, table: str) -> bool:
+        """Whether the table has been written, even if without rows."""
         return table in self.pointer()["tables"]
 
     def read(self, table: str) -> DataFrame:
-        """A table of the current generation; empty if there is none."""
-        tables = self.pointer()["tables"]
-        if table not in tables:
-            return self.spark.createDataFrame([], _SCHEMAS[table])
+        """A table as it now is; empty if there is none."""
+        now = self.pointer()
+        segments = now["tables"].get(table)
         own = _SCHEMAS[table]
-        extra = {"chunks": "file_bucket", "postings": "term_bucket"}.get(table)
-        full = T.StructType([*own.fields, T.StructField(extra, T.IntegerType())]) if extra else own
-        return self.spark.read.schema(full).parquet(f"{self.path}/{tables[table]}")
+        full = T.StructType([*own.fields, T.StructField("term_bucket", T.IntegerType())]) if table == "postings" else own
+        if not segments:
+            return self.spark.createDataFrame([], own)
+        key, out = _KEYS.get(table), None
+        # Segments to which the same rows are gone are read together.
+        by_gone: dict[tuple, list[str]] = {}
+        for generation, folder in segments:
+            by_gone.setdefault(tuple(f for g, f in now["gone"].get(key, []) if g > generation), []).append(f"{self.path}/{folder}")
+        for gone, folders in by_gone.items():
+            # One by one, so that each folder's partition column is read from its own root.
+            part = None
+            for folder in folders:
+                df = self.spark.read.schema(full).parquet(folder)
+                part = df if part is None else part.unionByName(df)
+            if gone:
+                left = self.spark.read.schema("key string").parquet(*[f"{self.path}/{f}" for f in gone])
+                part = part.join(left.withColumnRenamed("key", key), key, "left_anti").select(*full.fieldNames())
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def query_postings(self, terms: list[str]) -> DataFrame:
         """The postings of a query's terms: other buckets' folders aren't opened."""
@@ -76,49 +115,77 @@ class Store:
             return post.where("false").select("term", "id", "tf")
         return post.where(F.col("term_bucket").isin(*{term_bucket(t) for t in terms}) & F.col("term").isin(*set(terms))).select("term", "id", "tf")
 
-    def write(self, tables: dict[str, DataFrame]) -> int:
-        """A new generation with ``tables`` in place of those of the same names. Returns its number."""
+    def write(self, tables: dict[str, DataFrame], more: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> int:
+        """A new generation: ``tables`` in place of those of the same names, ``more`` beside what they have, without the older rows
+        whose column (id or file_path) is in ``gone`` (a column ``key``). Returns its number."""
         now = self.pointer()
-        number = now["generation"] + 1
+        # Not from the pointer alone: what a write that died has left is never written over.
+        number = 1 + max([0, *(int(m[1]) for n in self._names() if (m := _NAMES.fullmatch(n)))])
         folder = f"gen-{number}"
-        if self._fs.exists(self._p(folder)):  # left by a build that died
-            self._fs.delete(self._p(folder), True)
-        for name, df in tables.items():
+        for name, df in {**tables, **(more or {})}.items():
             out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[name].fields])
-            if name == "chunks":
-                out = out.withColumn("file_bucket", F.pmod(F.crc32("file_path"), F.lit(FILE_BUCKETS)).cast("int"))
-                out.repartition("file_bucket").write.partitionBy("file_bucket").parquet(f"{self.path}/{folder}/{name}")
-            elif name == "postings":
+            at = f"{self.path}/{folder}/{name}"
+            if name == "postings":
                 out = out.withColumn("term_bucket", F.pmod(F.crc32("term"), F.lit(TERM_BUCKETS)).cast("int"))
+                parts = 1 + int(self.spark.conf.get("spark.sql.shuffle.partitions")) // TERM_BUCKETS if name in tables else 1
                 # Sorted by term, so that row groups are skipped by their least and largest.
-                spread = out.repartition(F.col("term_bucket"), F.pmod(F.xxhash64("term", "id"), F.lit(8)))
-                spread.sortWithinPartitions("term_bucket", "term").write.partitionBy("term_bucket").parquet(f"{self.path}/{folder}/{name}")
+                spread = out.repartition(F.col("term_bucket"), F.pmod(F.xxhash64("term", "id"), F.lit(parts)))
+                spread.sortWithinPartitions("term_bucket", "term").write.partitionBy("term_bucket").parquet(at)
             else:
-                out.write.parquet(f"{self.path}/{folder}/{name}")
-        pointer = {"generation": number, "tables": now["tables"] | {n: f"{folder}/{n}" for n in tables}}
-        # Written beside and renamed, so that the pointer is whole or the old one.
-        at = self._p(f".CURRENT-{number}")
+                out.write.parquet(at)
+        old = {c: list(x) for c, x in now["gone"].items()}
+        for column, df in (gone or {}).items():
+            df.select(F.col("key").cast("string")).write.parquet(f"{self.path}/{folder}/gone-{column}")
+            old.setdefault(column, []).append([number, f"{folder}/gone-{column}"])
+        named = now["tables"] | {n: [[number, f"{folder}/{n}"]] for n in tables}
+        for n in more or {}:
+            named[n] = [*named.get(n, []), [number, f"{folder}/{n}"]]
+        # What is gone matters to older segments alone.
+        first = {c: min((g for n, k in _KEYS.items() if k == c for g, _ in named.get(n, [])), default=number) for c in old}
+        old = {c: kept for c, x in old.items() if (kept := [[g, f] for g, f in x if g > first[c]])}
+        self._point({"generation": number, "tables": named, "gone": old})
+        return number
+
+    def _point(self, pointer: dict) -> None:
+        name = f"pointer-{pointer['generation']:012d}.json"
+        at = self._p(f".{name}.new")
         stream = self._fs.create(at, True)
         stream.write(bytearray(json.dumps(pointer).encode()))
         stream.close()
-        if self._fs.exists(self._p("CURRENT")):
-            self._fs.delete(self._p("CURRENT"), False)
-        if not self._fs.rename(at, self._p("CURRENT")):
-            raise IndexingError(f"the pointer of {self.path} can't be moved")
-        return number
+        if self._fs.exists(self._p(name)) or not self._fs.rename(at, self._p(name)):
+            raise IndexingError(f"another write has made generation {pointer['generation']} of {self.path}")
 
-    def vacuum(self) -> int:
-        """Remove generations that the pointer doesn't name; returns how many."""
-        used = {t.split("/")[0] for t in self.pointer()["tables"].values()}
-        old = [s.getPath().getName() for s in self._fs.listStatus(self._p("")) if s.getPath().getName().startswith("gen-")]
-        gone = [g for g in old if g not in used]
+    def compact(self, most: int = SEGMENTS) -> bool:
+        """Write tables of more than ``most`` segments as one; True if there were any."""
+        now = self.pointer()
+        many = [n for n, s in now["tables"].items() if len(s) > most]
+        if many:
+            self.write({n: self.read(n) for n in many})
+        return bool(many)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Remove pointers but the newest ``keep``, and generations that none of those names; returns how many generations."""
+        names = self._names()
+        pointers = sorted((int(m[1]), n) for n in names if n.startswith("pointer-") and (m := _NAMES.fullmatch(n)))
+        now = self.pointer()
+        used = set()
+        for generation, name in pointers:
+            if generation == now["generation"] or generation in {g for g, _ in pointers[-keep:]}:
+                try:
+                    used |= set(re.findall(r"gen-\d+", self._text(name)))
+                except Py4JJavaError:
+                    continue
+            else:
+                remove(self.spark, f"{self.path}/{name}")
+        gone = [n for n in names if n.startswith("gen-") and n not in used]
         for g in gone:
             remove(self.spark, f"{self.path}/{g}")
         return len(gone)
 
     def size_bytes(self) -> int:
-        """Of the current generation's tables."""
-        return sum(self._fs.getContentSummary(self._p(t)).getLength() for t in self.pointer()["tables"].values())
+        """Of the current generation's segments."""
+        now = self.pointer()
+        return sum(self._fs.getContentSummary(self._p(folder)).getLength() for part in (now["tables"], now["gone"]) for segments in part.values() for _, folder in segments)
 
     def check_vectors(self, chunks: DataFrame) -> DataFrame:
         """``chunks``, made to fail on a row without a vector."""

@@ -27,8 +27,6 @@ def index_stream(spark: SparkSession, documents: DataFrame, store: Store, config
 
     def upsert(batch: DataFrame, _: int) -> None:
         rows = batch.dropDuplicates(["file_path"]).select("file_path", F.col("content").cast("binary").alias("content"), sha256_id(F.col("content")).alias("hash"), F.octet_length("content").cast("long").alias("file_size_bytes"))
-        # Paths that aren't in the batch stay as they are.
-        rest = store.read("manifest").join(rows.select("file_path"), "file_path", "left_anti").select("file_path", F.lit(None).cast("binary").alias("content"), "hash", "file_size_bytes")
-        build(spark, store, rows.unionByName(rest), config)
+        build(spark, store, rows, config, partial=True)  # paths that aren't in the batch stay as they are
 
     return documents.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

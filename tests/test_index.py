@@ -1,15 +1,18 @@
+import io
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from quern import cli, service
 from quern import config as cfg
 from quern.errors import ConfigError, EmbeddingError, QuernError, TooLargeError
 from quern.functions import embed
+from quern.plans.index import build
 from quern.plans.search import Query
 from quern.service import IndexService
 from quern.sources.ignore import Rules
-from quern.sources.scan import list_files
+from quern.sources.scan import list_files, listed
 from quern.store import Store
 from quern.streaming.ingest import index_stream, token_counts
 
@@ -75,10 +78,106 @@ def test_build_search_update(spark, project):
 
 
 def test_pointer_that_cannot_be_read(spark, tmp_path):
+    """The one before it counts, and no generation is written over."""
     st = Store(spark, f"file://{tmp_path}/t")
-    (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "CURRENT").write_text("{broken")
-    assert not st.has("chunks") and st.read("chunks").count() == 0
+    assert not st.has("chunks") and st.read("chunks").count() == 0 and st.pointer()["generation"] == 0
+    docs = lambda *ids: spark.createDataFrame([(x, 1) for x in ids], "id string, dl int")
+    assert (st.write({"docs": docs("a")}), st.write({"docs": docs("a", "b")})) == (1, 2)
+    (tmp_path / "t" / "pointer-000000000003.json").write_text("{broken")
+    assert st.pointer()["generation"] == 2 and st.read("docs").count() == 2
+    assert st.write({"docs": docs("c")}) == 4 and sorted(p.name for p in (tmp_path / "t").glob("gen-*")) == ["gen-1", "gen-2", "gen-4"]
+    for p in (tmp_path / "t").glob("pointer-*"):
+        p.write_text("[]")
+    assert not st.known("docs") and st.write({"docs": docs("d")}) == 5 and (tmp_path / "t" / "gen-1" / "docs").exists()
+
+
+def test_a_write_that_dies_leaves_the_old_index(spark, tmp_path, monkeypatch):
+    st = Store(spark, f"file://{tmp_path}/t")
+    docs = lambda *ids: spark.createDataFrame([(x, 1) for x in ids], "id string, dl int")
+    st.write({"docs": docs("a", "b")})
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    whole = Store._point
+    monkeypatch.setattr(Store, "_point", die)  # between the tables and the pointer
+    with pytest.raises(KeyboardInterrupt):
+        st.write({}, {"docs": docs("c")}, {"id": docs("a").selectExpr("id as key")})
+    assert sorted(r.id for r in st.read("docs").collect()) == ["a", "b"]
+    monkeypatch.setattr(Store, "_point", whole)
+    st.write({}, {"docs": docs("c")}, {"id": docs("a").selectExpr("id as key")})
+    assert sorted(r.id for r in st.read("docs").collect()) == ["b", "c"] and st.pointer()["generation"] == 3
+    st.write({}, {"docs": docs("a", "b")}, {"id": docs("b", "c").selectExpr("id as key")})
+    assert sorted(r.id for r in st.read("docs").collect()) == ["a", "b"]
+    assert st.compact(2) and sorted(r.id for r in st.read("docs").collect()) == ["a", "b"]
+    now = st.pointer()
+    assert len(now["tables"]["docs"]) == 1 and now["gone"] == {} and st.vacuum() == 4 and st.read("docs").count() == 2
+
+
+def test_an_update_writes_what_is_new(spark, tmp_path):
+    """One file of very many: less than a fiftieth of the index."""
+    config = cfg.Config(embedding=cfg.Embedding(dimensions=8), chunking=cfg.Chunking(min_tokens=1))
+    st = Store(spark, f"file://{tmp_path}/t")
+    text = "concat_ws(' ', transform(sequence(1, 60), x -> concat('w', hex(xxhash64(id, x, {0})))))"
+    files = lambda n, salt: spark.range(n).selectExpr("concat('f', id, '.txt') as file_path", f"cast({text.format(salt)} as binary) as content").selectExpr("file_path", "content", "concat('sha256:', sha2(content, 256)) as hash", "cast(length(content) as long) as file_size_bytes")
+    assert build(spark, st, files(3000, 0), config)["files_indexed"] == 3000
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "t").rglob("*.parquet"))
+    before = size()
+    changed = files(3000, 0).where("file_path != 'f7.txt'").unionByName(files(8, 1).where("file_path = 'f7.txt'"))
+    assert build(spark, st, changed, config)["files_indexed"] == 1
+    assert size() - before < 0.02 * before and st.read("docs").count() == 3000
+    assert build(spark, st, files(2, 2), config, partial=True)["files_deleted"] == 0 and st.read("docs").count() == 3000
+    for k in range(9):
+        build(spark, st, files(1, 10 + k), config, partial=True)
+    assert max(len(x) for x in st.pointer()["tables"].values()) <= 9 and st.read("docs").count() == 3000
+    one = {t: sorted(map(str, st.read(t).select(*c).collect())) for t, c in (("postings", ("term", "id", "tf")), ("docs", ("id", "dl")), ("stats", ("n_docs", "total_len")))}
+    assert one == {t: sorted(map(str, df.select(*c).collect())) for (t, df), c in zip(st.keyword_tables(st.read("chunks").select("id", "content")).items(), (("term", "id", "tf"), ("id", "dl"), ("n_docs", "total_len")))}
+
+
+def test_folders_left_to_the_executors(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"d{i}" / "deep").mkdir(parents=True)
+        (tmp_path / f"d{i}" / "deep" / "a.py").write_text("x = 1\n" * i)
+        (tmp_path / f"d{i}" / "b.md").write_text("# b")
+    (tmp_path / ".indexignore").write_text("d3/\nd4/deep/\n")
+    want = list_files(str(tmp_path), cfg.Indexing())
+    assert len(want) == 21 and [tuple(r) for r in listed(spark, str(tmp_path), cfg.Indexing(), frontier=2).orderBy("file_path").collect()] == want
+
+
+def test_every_failure_of_the_service_is_a_dict(spark, project, monkeypatch):
+    s = IndexService(spark, str(project[0]))
+    assert s.search("q", top_k=0)["error_type"] == s.search("q", top_k=101)["error_type"] == "ConfigError"
+    assert s.search("q", nonsense=1)["error_type"] == "TypeError"
+
+    def broken(*_, **__):
+        raise RuntimeError("an executor is gone")
+
+    for name in ("build_project", "status", "search"):
+        monkeypatch.setattr(service, name, broken)
+    assert [x["error"] for x in (s.build(), s.status(), s.search("q"))] == ["an executor is gone"] * 3
+
+
+def test_files_that_fail_are_tried_again(spark, tmp_path):
+    """A PDF without its package is an error, not a file without chunks; a file that is indexed then isn't read again."""
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4")
+    (tmp_path / "b.txt").write_text("some words of text")
+    s = IndexService(spark, str(tmp_path))
+    first, second = s.build(), s.build()
+    assert (first["files_failed"], second["files_failed"], second["files_indexed"]) == (1, 1, 1)
+    assert [r["file_path"] for r in s.store.read("manifest").collect()] == ["b.txt"]
+
+
+def test_migration_asks(tmp_path, monkeypatch, capsys):
+    (tmp_path / ".index").mkdir()
+    at = tmp_path / ".index/config.json"
+    at.write_text('{"search": {"mode": "vector"}}')
+    old = at.read_text()
+    for typed, flags, status in (("n\n", [], "cancelled"), ("", ["--dry-run"], "dry_run"), ("yes\n", [], "success"), ("", ["--force"], "up_to_date")):
+        monkeypatch.setattr("sys.stdin", io.StringIO(typed))
+        assert cli.main(["migrate", str(tmp_path), *flags]) == 0 and json.loads(capsys.readouterr().out)["status"] == status
+        assert (at.read_text() == old) == (status in ("cancelled", "dry_run"))
+    at.write_text(old)
+    assert cli.main(["migrate", str(tmp_path), "--force"]) == 0 and at.read_text() != old
 
 
 def test_stream(spark, tmp_path):

@@ -111,6 +111,32 @@ def test_rerank(spark):
     assert got == [("a", 1.0), ("b", 0.5), ("d", 0.5)]
     rerank.register("length", lambda: lambda q, c: [float(len(x)) for x in c])
     assert rerank.rerank(df, "q", 1, "length").first()["id"] == "a"
+    # A model that isn't there, or that fails, leaves the list in its order.
+    kept = [r["id"] for r in df.orderBy(F.desc("score"), "id").limit(2).collect()]
+
+    def broken(q, c):
+        raise RuntimeError("no memory")
+
+    rerank.register("broken", lambda: broken)
+    for model in ("never/heard-of", "broken"):
+        got = rerank.rerank(df, "q", 2, model, F.desc("score")).collect()
+        assert [r["id"] for r in got] == kept and [r["rerank_score"] for r in got] == [None, None]
+
+
+def test_a_scorer_is_made_once_in_a_worker(spark, tmp_path):
+    def make():
+        with open(tmp_path / "made", "a") as f:
+            f.write("x")
+        return lambda q, c: [1.0] * len(c)
+
+    rerank.register("counted", make)
+    df = spark.range(50).selectExpr("cast(id as string) as id", "'text' as content", "1.0 as score").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert rerank.rerank(df, "q", 50, "counted").count() == 50
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len((tmp_path / "made").read_text()) == 1
 
 
 def test_changes(spark):
