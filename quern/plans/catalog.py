@@ -498,11 +498,31 @@ def _chunked(files: DataFrame, limits: Chunking) -> DataFrame:
     return chunks.select("id", "file_path", "start_line", "end_line", "chunk_type", "language", "symbol_name", "token_count")
 
 
+_LETTER = "\\p{L}\\p{N}_"
+
+
+def _packed_sql(source: str) -> str:
+    """The text chunker in SQL over (path, content): blocks between blank lines, packed one after another up to 512 tokens; chunks below 20 go."""
+    breaks = "length({0}) - length(replace({0}, chr(10), ''))"
+    return f"""WITH RECURSIVE src AS ({source}),
+raw AS (SELECT path, string_split_regex(content, '\n\n+') AS parts, regexp_extract_all(content, '\n\n+') AS gaps FROM src),
+cut AS (SELECT path, i, parts[i] AS part, gaps[i] AS gap FROM (SELECT path, parts, gaps, unnest(range(1, len(parts) + 1)) AS i FROM raw)),
+placed AS (SELECT path, i, part, len(regexp_extract_all(part, '[{_LETTER}]+|[^{_LETTER}\s]')) AS n,
+  1 + coalesce(sum({breaks.format("part")} + coalesce(length(gap), 0)) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM cut),
+block AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i) AS k FROM placed WHERE regexp_matches(part, '\S')),
+held AS (SELECT path, k, n AS size, 1 AS g FROM block WHERE k = 1
+  UNION ALL SELECT b.path, b.k, CASE WHEN h.size + b.n > 512 THEN b.n ELSE h.size + b.n END, h.g + CASE WHEN h.size + b.n > 512 THEN 1 ELSE 0 END FROM held h JOIN block b ON b.path = h.path AND b.k = h.k + 1),
+chunk AS (SELECT b.path, string_agg(b.part, chr(10) || chr(10) ORDER BY b.k) AS content, min(b.line)::INT AS start_line, sum(b.n)::INT AS token_count
+  FROM block b JOIN held h ON h.path = b.path AND h.k = b.k GROUP BY b.path, h.g)
+SELECT concat('sha256:', sha256(concat(path, ':', start_line, ':', content))) AS id, path AS file_path, start_line, (start_line + {breaks.format("content")})::INT AS end_line,
+  'unknown' AS chunk_type, 'text' AS language, '' AS symbol_name, token_count FROM chunk WHERE token_count >= 20"""
+
+
 def _as_files(spark, sf, ext: str, content) -> DataFrame:
     return _docs(spark, sf).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("." + ext)).alias("file_path"), content.alias("content"))
 
 
-@query()
+@query(_packed_sql("SELECT concat(source, '/', doc_id, '.txt') AS path, replace(text, chr(10), chr(10) || chr(10)) AS content FROM documents"))
 def chunk_text_blocks(spark, sf):
     """Every line break becomes a blank line, so that blocks are packed."""
     return _chunked(_as_files(spark, sf, "txt", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))), Chunking())
@@ -529,7 +549,7 @@ def chunk_dita(spark, sf):
     return _chunked(_as_files(spark, sf, "dita", xml), Chunking())
 
 
-@query()
+@query(_packed_sql("SELECT concat('pages/', page_id, '.txt') AS path, html AS content FROM pages"))
 def chunk_pages(spark, sf):
     """Web pages packed as text."""
     p = spread(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"))
