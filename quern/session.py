@@ -82,9 +82,13 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def __exit__(self, *_) -> None:
+    def close(self) -> None:
         for path in self.paths:
             remove(self.spark, path)
+        self.paths.clear()
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def remove(spark: SparkSession, path: str) -> None:
