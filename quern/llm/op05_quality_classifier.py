@@ -20,13 +20,16 @@ empty result. Other columns, whatever their names, are ignored (``keep`` returns
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.workers import lean
+from quern.llm.pieces import parts
+from quern.llm.workers import lean, values
 from quern.session import materialise, spread
 
 BUCKETS = 1 << 20
@@ -48,31 +51,70 @@ def shape(word: bytes) -> bytes:
 
 
 class Hasher:
-    """Bucket numbers of a text's features."""
+    """Bucket numbers of texts' features. Different words are hashed once for a batch, and those met before not again."""
 
     def __init__(self, buckets: int = BUCKETS):
         import xxhash
 
-        self.hash, self.buckets, self.known = xxhash.xxh64_intdigest, np.uint64(buckets), {}
-
-    def _look(self, word: bytes) -> tuple[int, int]:
-        if (k := self.known.get(word)) is None:
-            if len(self.known) > KEEP:
-                self.known.clear()
-            k = (self.hash(word, 1), self.hash(shape(word), 2))
-            self.known[word] = k
-        return k
-
-    def groups(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        words = (text or b"").split()
-        if not words:
-            return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        h = np.array([self._look(w) for w in words], np.uint64)
+        self.hash, self.buckets = xxhash.xxh64_intdigest, np.uint64(buckets)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.table, self.n = np.zeros((1 << 12, 2), np.uint64), 0
+
+    def _look(self, words: list[bytes]) -> np.ndarray:
+        """(words, 2): the hashes of different words and of their shapes."""
+        if len(self.known) > KEEP:
+            self._reset()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        fresh = [words[i] for i in new.tolist()]
+        while self.n + len(fresh) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        at[new] = self.n + np.arange(len(new))
+        self.table[at[new], 0] = np.fromiter((self.hash(w, 1) for w in fresh), np.uint64, len(fresh))
+        self.table[at[new], 1] = np.fromiter((self.hash(shape(w), 2) for w in fresh), np.uint64, len(fresh))
+        self.known.update(zip(fresh, at[new].tolist()))
+        self.n += len(fresh)
+        return self.table[at]
+
+    def features(self, texts: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Each text's number of words; for words and for shapes the buckets of each and of its pair with the next; and where the next is of the same text."""
+        plain = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+        lists = pc.ascii_split_whitespace(plain)
+        coded = lists.flatten().dictionary_encode()
+        words, code = values(coded.dictionary.cast(pa.large_binary())), coded.indices.to_numpy()
+        n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        doc = np.repeat(np.arange(len(n)), n)
+        if b"" in words:  # white space at an end leaves an empty word
+            full = code != words.index(b"")
+            code, doc = code[full], doc[full]
+            n = np.bincount(doc, minlength=len(n))
+        h = self._look(words)[code] if len(code) else np.zeros((0, 2), np.uint64)
         w, s = h[:, 0], h[:, 1].copy()
-        s[1:][w[1:] == w[:-1]] ^= np.uint64(0x5BD1E995)
+        pairs = doc[1:] == doc[:-1]
+        s[1:][pairs & (w[1:] == w[:-1])] ^= np.uint64(0x5BD1E995)
         pair = lambda x: ((x[:-1] * np.uint64(31) + x[1:]) * _M) ^ (x[1:] >> np.uint64(17))
         cut = lambda x: ((x ^ (x >> np.uint64(32))) % self.buckets).astype(np.uint32)
-        return cut(np.concatenate([w, pair(w)])), cut(np.concatenate([s, pair(s)]))
+        return n, [(cut(w), cut(pair(w))), (cut(s), cut(pair(s)))], pairs
+
+    def groups(self, texts: pa.Array):
+        """For each text the buckets of its words and pairs, and of its shapes and theirs."""
+        n, made, _ = self.features(texts)
+        ends = np.cumsum(n)
+        for start, stop in zip((ends - n).tolist(), ends.tolist()):
+            yield tuple(np.concatenate([one[start:stop], two[start : max(start, stop - 1)]]) for one, two in made)
+
+    def sums(self, texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+        """The dot product of each text's features, by their shares, and ``weights``."""
+        n, made, pairs = self.features(texts)
+        doc = np.repeat(np.arange(len(n)), n)
+        out = np.full(len(n), float(weights[-1]))
+        for one, two in made:
+            total = np.bincount(doc, weights=weights[one], minlength=len(n)) + np.bincount(doc[:-1][pairs], weights=weights[two[pairs]], minlength=len(n))
+            out += total / np.maximum(1, 2 * n - 1)
+        return out
 
 
 def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = BUCKETS, epochs: int = EPOCHS) -> np.ndarray:
@@ -123,8 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             if len(seen) > KEEP:
                 seen.clear()
             idx, val = [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                i, v = sparse(h.groups(text))
+            for made in h.groups(batch.column(1)):
+                i, v = sparse(made)
                 idx.append(i.astype("<u4").tobytes())
                 val.append(v.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), batch.column(4), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["_y", "_order", "_id", "_th", "idx", "val"])
@@ -155,13 +197,9 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, id_col:
     """The id, held_out, score and predicted. With ``keep``: the columns of ``docs``, of the rows predicted 1."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS + 1 floats
 
-    def probabilities(texts: list[bytes | None], h: Hasher, w: np.ndarray) -> np.ndarray:
-        s = np.full(len(texts), float(w[-1]))
-        for i, text in enumerate(texts):
-            for g in h.groups(text):
-                if len(g):
-                    s[i] += w[g].mean(dtype=np.float64)
-        return 1 / (1 + np.exp(-np.clip(s, -35, 35)))
+    def probabilities(batch: pa.RecordBatch, column: int, h: Hasher, w: np.ndarray) -> np.ndarray:
+        sums = [h.sums(part.column(column), w) for part in parts(batch, column)]
+        return 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *sums]), -35, 35)))
 
     if keep:
         at = docs.columns.index(text_col)
@@ -169,7 +207,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, id_col:
         def choose(batches):
             h, w = Hasher(), sent.value
             for batch in batches:
-                p = probabilities(batch.column(at).cast(pa.binary()).to_pylist(), h, w)
+                p = probabilities(batch, at, h, w)
                 yield batch.filter(pa.array(p >= threshold))
 
         return spread(docs).mapInArrow(lean(choose), docs.schema)
@@ -179,7 +217,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, id_col:
     def run(batches):
         h, w = Hasher(), sent.value
         for batch in batches:
-            p = probabilities(batch.column(1).cast(pa.binary()).to_pylist(), h, w)
+            p = probabilities(batch, 1, h, w)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
     return spread(docs.select(F.col(id_col), F.col(text_col), held_out(id_col).alias("_held"))).mapInArrow(lean(run), f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
