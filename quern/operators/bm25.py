@@ -1,7 +1,7 @@
 """Keyword retrieval by Okapi BM25 over tables of postings.
 
     docs      id, dl (terms of the document)
-    postings  term, id, tf
+    postings  term, id, tf, and in an index also dl
     stats     n_docs, total_len: one row of sums, which add up over parts of a corpus
 
 A document without terms is in ``docs`` with dl 0 and counts towards the mean length.
@@ -51,12 +51,12 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def score(query: str, post: DataFrame, docs: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def score(query: str, post: DataFrame, docs: DataFrame | None, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(id, raw): the score of every document that holds a term of ``query``.
 
     A term counts as often as the query has it. Frequencies are of the whole corpus. Only the
     query's postings are read, through a literal filter that reaches the files; their counts are a
-    few rows, one a term. An empty query, and a corpus without terms, give nothing.
+    few rows, one a term. Where postings have their documents' lengths, ``docs`` isn't read. An empty query, and a corpus without terms, give nothing.
     """
     spark = post.sparkSession
     wanted = Counter(terms_of(query))
@@ -69,7 +69,8 @@ def score(query: str, post: DataFrame, docs: DataFrame, stats: DataFrame, k1: fl
     n, avg = F.col("n_docs"), F.col("total_len") / F.col("n_docs")
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = weight[F.col("term")] * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg))
-    rows = hits.join(df, "term").join(docs.select("id", "dl"), "id").join(one).where("total_len > 0")
+    long = hits if "dl" in hits.columns else hits.join(docs.select("id", "dl"), "id")
+    rows = long.join(df, "term").join(one).where("total_len > 0")
     return rows.groupBy("id").agg(F.sum(part).alias("raw"))
 
 
@@ -96,7 +97,7 @@ def scan_score(query: str, chunks: DataFrame, id_col: str = "id", text_col: str
     return rows.where(" or ".join(f"_tf{i} > 0" for i in range(len(wanted)))).select("id", total.alias("raw"))
 
 
-def search(query: str, post: DataFrame, docs: DataFrame, stats: DataFrame, top_k: int, where: Column | None = None, chunks: DataFrame | None = None) -> DataFrame:
+def search(query: str, post: DataFrame, docs: DataFrame | None, stats: DataFrame, top_k: int, where: Column | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """The ``top_k`` best of ``chunks`` (by default of ``docs``) for which ``where`` holds: id, the columns of ``chunks``, score rounded to 4 places.
 
     Filters come after scoring and before the cut, so that they change no score. Equal scores go by id.

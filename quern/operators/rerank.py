@@ -42,6 +42,13 @@ def register(name: str, make: Callable[[], Scorer]) -> None:
     _SCORERS[name] = make
 
 
+def _scores(model: str, make: Callable[[], Scorer], query: str, contents: list[str]) -> list[float]:
+    """In a worker, where this module, and so what it has made, outlives the tasks."""
+    if model not in _made:
+        _made[model] = make()
+    return _made[model](query, contents)
+
+
 def overlap(query: str, content: Column) -> Column:
     """The share of the query's different terms that the content holds."""
     wanted = sorted(set(terms_of(query)))
@@ -62,9 +69,7 @@ def rerank(hits: DataFrame, query: str, top_n: int, model: str = "term-overlap",
 
         @F.pandas_udf("double")
         def by_model(content: pd.Series) -> pd.Series:
-            if model not in _made:
-                _made[model] = make()
-            return pd.Series(_made[model](query, content.tolist()))
+            return pd.Series(_scores(model, make, query, content.tolist()))
 
         try:
             scored = rows.withColumn("rerank_score", F.round(by_model("content"), 4))

@@ -168,7 +168,7 @@ def bm25_search_topk(spark, sf):
 def bm25_search_postings(spark, sf):
     """From the stored postings: the folders of the query's terms alone are opened."""
     store = _store(spark, sf)
-    found = bm25.search(WORDS, store.query_postings(tx.terms_of(WORDS)).withColumn("id", F.col("id").cast("long")), store.read("docs").withColumn("id", F.col("id").cast("long")), store.read("stats"), 10)
+    found = bm25.search(WORDS, store.query_postings(tx.terms_of(WORDS)).withColumn("id", F.col("id").cast("long")), None, store.read("stats"), 10)
     return found.select("id", "score")
 
 

@@ -85,20 +85,22 @@ def search(store: Store, q: Query, config: Config) -> DataFrame:
         raise QuernError("there is no keyword index; build it first")
     chunks = store.read("chunks")
     where = filters(q)
+    # Lists are of ids and scores; filters read paths and languages, and nothing reads a content before the cut.
+    about = ["id"] + ["language"] * bool(q.language) + ["file_path"] * bool(q.path)
     found_v = found_b = None
     if mode != "keyword":
-        found_v = vector.search(chunks.select(*HIT, "vector"), provider(config.embedding).embed_query(q.text), 2 * top_k, where)
+        found_v = vector.search(chunks.select(*about, "vector"), provider(config.embedding).embed_query(q.text), 2 * top_k, where).select("id", "score")
     if mode != "vector" and has_words:
-        found_b = bm25.search(q.text, store.query_postings(terms_of(q.text)), store.read("docs"), store.read("stats"), 2 * top_k, where, chunks.select(*HIT))
-    if mode == "hybrid":
-        # At most 2 * top_k rows each, 200 in all, read three times below.
-        found_v = _short(found_v)
-        found_b = _short(found_b) if found_b is not None else None
+        narrow = chunks.select(*about) if where is not None else None
+        found_b = bm25.search(q.text, store.query_postings(terms_of(q.text)), None, store.read("stats"), 2 * top_k, where, narrow).select("id", "score")
+    # At most 2 * top_k rows each, 200 in all.
+    found_v, found_b = (x if x is None else _short(x) for x in (found_v, found_b))
     merged, fused = combine(found_v, found_b, mode, alpha, s.fallback)
     score = "fused_score" if fused else "score"
     if mode != "hybrid":
         merged = merged.where(F.col("score") >= threshold)
-    best = merged.orderBy(F.desc(score), "id").limit(top_k)
+    best = _short(merged.orderBy(F.desc(score), "id").limit(top_k))
+    best = store.fetch([r["id"] for r in best.select("id").collect()]).join(F.broadcast(best), "id")
     if s.rerank_enabled if q.rerank is None else q.rerank:
         best = rerank(best, q.text, s.rerank_top_n, s.rerank_model, F.desc(score))
         order = [F.desc("rerank_score"), F.desc(score), F.col("id")]

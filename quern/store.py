@@ -7,8 +7,11 @@ write that dies at any point leaves the old one. An update adds segments of what
 the rows of older segments that are gone; a reader leaves those out. When segments become many
 they are written as one.
 
-    chunks     the stored chunks with vectors; postings  term, id, tf by term_bucket
+    chunks     the stored chunks with vectors, by id_bucket; postings  term, id, tf, dl by term_bucket
     docs       id, dl; stats  n_docs, total_len; manifest; cache; gone  key
+
+A posting has its document's length, so that a keyword search reads the postings of its terms and one row of
+sums, and nothing else of the corpus. Whole chunks are read last, for the hits alone, from their buckets.
 """
 
 from __future__ import annotations
@@ -28,20 +31,22 @@ from quern.errors import IndexingError
 from quern.operators import bm25
 from quern.session import remove
 
-#: Buckets of the postings by term; segments of a table beyond which an update writes it as one.
-TERM_BUCKETS, SEGMENTS = 64, 8
+#: Buckets of the postings by term, and of the chunks by id; segments of a table beyond which an update writes it as one.
+TERM_BUCKETS, ID_BUCKETS, SEGMENTS = 64, 64, 8
 _SCHEMAS = {"chunks": schema.STORED, "manifest": schema.MANIFEST, "cache": schema.CACHE}
-_POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", T.StringType()), T.StructField("tf", T.IntegerType())])
+_POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType())])
 _DOCS = T.StructType([T.StructField("id", T.StringType()), T.StructField("dl", T.IntegerType())])
 _STATS = T.StructType([T.StructField("n_docs", T.LongType()), T.StructField("total_len", T.LongType())])
 _SCHEMAS |= {"postings": _POSTINGS, "docs": _DOCS, "stats": _STATS}
+#: Columns by whose values a table's files lie in folders.
+_FOLDERS = {"postings": ("term_bucket", "term", TERM_BUCKETS), "chunks": ("id_bucket", "id", ID_BUCKETS)}
 #: By which column rows of a table are named as gone.
 _KEYS = {"chunks": "id", "postings": "id", "docs": "id", "manifest": "file_path"}
 _NAMES = re.compile(r"(?:gen-|pointer-)(\d+)(?:\.json)?")
 
 
-def term_bucket(term: str) -> int:
-    return zlib.crc32(term.encode()) % TERM_BUCKETS
+def bucket(value: str, buckets: int) -> int:
+    return zlib.crc32(value.encode()) % buckets
 
 
 class Store:
@@ -83,12 +88,18 @@ class Store:
         """Whether the table has been written, even if without rows."""
         return table in self.pointer()["tables"]
 
-    def read(self, table: str) -> DataFrame:
-        """A table as it now is; empty if there is none."""
+    def read(self, table: str, among: list[str] | None = None) -> DataFrame:
+        """A table as it now is; empty if there is none. ``among``: the rows of these terms (postings) or ids (chunks) alone; the folders of others aren't opened."""
         now = self.pointer()
         segments = now["tables"].get(table)
         own = _SCHEMAS[table]
-        full = T.StructType([*own.fields, T.StructField("term_bucket", T.IntegerType())]) if table == "postings" else own
+        where = F.lit(True)
+        full = own
+        if table in _FOLDERS:
+            folder, column, n = _FOLDERS[table]
+            full = T.StructType([*own.fields, T.StructField(folder, T.IntegerType())])
+            if among is not None:
+                where = F.col(folder).isin(*{bucket(x, n) for x in among}) & F.col(column).isin(*set(among)) if among else F.lit(False)
         if not segments:
             return self.spark.createDataFrame([], own)
         key, out = _KEYS.get(table), None
@@ -100,20 +111,21 @@ class Store:
             # One by one, so that each folder's partition column is read from its own root.
             part = None
             for folder in folders:
-                df = self.spark.read.schema(full).parquet(folder)
+                df = self.spark.read.schema(full).parquet(folder).where(where).select(*own.fieldNames())
                 part = df if part is None else part.unionByName(df)
             if gone:
                 left = self.spark.read.schema("key string").parquet(*[f"{self.path}/{f}" for f in gone])
-                part = part.join(left.withColumnRenamed("key", key), key, "left_anti").select(*full.fieldNames())
+                part = part.join(left.withColumnRenamed("key", key), key, "left_anti").select(*own.fieldNames())
             out = part if out is None else out.unionByName(part)
         return out
 
     def query_postings(self, terms: list[str]) -> DataFrame:
-        """The postings of a query's terms: other buckets' folders aren't opened."""
-        post = self.read("postings")
-        if not terms or "term_bucket" not in post.columns:
-            return post.where("false").select("term", "id", "tf")
-        return post.where(F.col("term_bucket").isin(*{term_bucket(t) for t in terms}) & F.col("term").isin(*set(terms))).select("term", "id", "tf")
+        """The postings of a query's terms."""
+        return self.read("postings", list(terms))
+
+    def fetch(self, ids: list[str], columns: tuple[str, ...] = schema.HIT) -> DataFrame:
+        """The chunks of a few ids."""
+        return self.read("chunks", list(ids)).select(*columns)
 
     def write(self, tables: dict[str, DataFrame], more: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> int:
         """A new generation: ``tables`` in place of those of the same names, ``more`` beside what they have, without the older rows
@@ -125,12 +137,13 @@ class Store:
         for name, df in {**tables, **(more or {})}.items():
             out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[name].fields])
             at = f"{self.path}/{folder}/{name}"
-            if name == "postings":
-                out = out.withColumn("term_bucket", F.pmod(F.crc32("term"), F.lit(TERM_BUCKETS)).cast("int"))
-                parts = 1 + int(self.spark.conf.get("spark.sql.shuffle.partitions")) // TERM_BUCKETS if name in tables else 1
-                # Sorted by term, so that row groups are skipped by their least and largest.
-                spread = out.repartition(F.col("term_bucket"), F.pmod(F.xxhash64("term", "id"), F.lit(parts)))
-                spread.sortWithinPartitions("term_bucket", "term").write.partitionBy("term_bucket").parquet(at)
+            if name in _FOLDERS:
+                by, column, n = _FOLDERS[name]
+                out = out.withColumn(by, F.pmod(F.crc32(column), F.lit(n)).cast("int"))
+                parts = 1 + int(self.spark.conf.get("spark.sql.shuffle.partitions")) // n if name in tables else 1
+                # Sorted, so that row groups are skipped by their least and largest.
+                spread = out.repartition(F.col(by), F.pmod(F.xxhash64("id", column), F.lit(parts)))
+                spread.sortWithinPartitions(by, column).write.partitionBy(by).parquet(at)
             else:
                 out.write.parquet(at)
         old = {c: list(x) for c, x in now["gone"].items()}
@@ -195,7 +208,7 @@ class Store:
     def keyword_tables(self, chunks: DataFrame) -> dict[str, DataFrame]:
         """Postings, lengths and sums of ``chunks``, as a bootstrap from stored chunks makes them."""
         docs = bm25.lengths(chunks)
-        return {"postings": bm25.postings(bm25.tokens(chunks)), "docs": docs, "stats": bm25.corpus_stats(docs)}
+        return {"postings": bm25.postings(bm25.tokens(chunks)).join(docs, "id"), "docs": docs, "stats": bm25.corpus_stats(docs)}
 
 
 def language_histogram(chunks: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,7 +127,7 @@ def test_rerank(spark):
 def test_a_scorer_is_made_once_in_a_worker(spark, tmp_path):
     def make():
         with open(tmp_path / "made", "a") as f:
-            f.write("x")
+            f.write(f"{os.getpid()} ")
         return lambda q, c: [1.0] * len(c)
 
     rerank.register("counted", make)
@@ -136,7 +137,8 @@ def test_a_scorer_is_made_once_in_a_worker(spark, tmp_path):
         assert rerank.rerank(df, "q", 50, "counted").count() == 50
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert len((tmp_path / "made").read_text()) == 1
+    workers = (tmp_path / "made").read_text().split()
+    assert len(workers) == len(set(workers)) <= 4  # ten batches
 
 
 def test_changes(spark):
