@@ -20,6 +20,7 @@ import json
 import re
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -134,7 +135,8 @@ class Store:
         # Not from the pointer alone: what a write that died has left is never written over.
         number = 1 + max([0, *(int(m[1]) for n in self._names() if (m := _NAMES.fullmatch(n)))])
         folder = f"gen-{number}"
-        for name, df in {**tables, **(more or {})}.items():
+
+        def put(name: str, df: DataFrame) -> None:
             out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[name].fields])
             at = f"{self.path}/{folder}/{name}"
             if name in _FOLDERS:
@@ -146,10 +148,16 @@ class Store:
                 spread.sortWithinPartitions(by, column).write.partitionBy(by).parquet(at)
             else:
                 out.write.parquet(at)
+
         old = {c: list(x) for c, x in now["gone"].items()}
-        for column, df in (gone or {}).items():
-            df.select(F.col("key").cast("string")).write.parquet(f"{self.path}/{folder}/gone-{column}")
-            old.setdefault(column, []).append([number, f"{folder}/gone-{column}"])
+        # The tables don't wait for each other.
+        with ThreadPoolExecutor(4) as pool:
+            jobs = [pool.submit(put, name, df) for name, df in {**tables, **(more or {})}.items()]
+            for column, df in (gone or {}).items():
+                jobs.append(pool.submit(df.select(F.col("key").cast("string")).write.parquet, f"{self.path}/{folder}/gone-{column}"))
+                old.setdefault(column, []).append([number, f"{folder}/gone-{column}"])
+            for job in jobs:
+                job.result()
         named = now["tables"] | {n: [[number, f"{folder}/{n}"]] for n in tables}
         for n in more or {}:
             named[n] = [*named.get(n, []), [number, f"{folder}/{n}"]]
