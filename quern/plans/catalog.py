@@ -507,9 +507,9 @@ def _packed_sql(source: str) -> str:
     return f"""WITH RECURSIVE src AS ({source}),
 raw AS (SELECT path, string_split_regex(content, '\n\n+') AS parts, regexp_extract_all(content, '\n\n+') AS gaps FROM src),
 cut AS (SELECT path, i, parts[i] AS part, gaps[i] AS gap FROM (SELECT path, parts, gaps, unnest(range(1, len(parts) + 1)) AS i FROM raw)),
-placed AS (SELECT path, i, part, len(regexp_extract_all(part, '[{_LETTER}]+|[^{_LETTER}\s]')) AS n,
+placed AS (SELECT path, i, part, len(regexp_extract_all(part, '[{_LETTER}]+|[^{_LETTER}\\s]')) AS n,
   1 + coalesce(sum({breaks.format("part")} + coalesce(length(gap), 0)) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM cut),
-block AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i) AS k FROM placed WHERE regexp_matches(part, '\S')),
+block AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i) AS k FROM placed WHERE regexp_matches(part, '\\S')),
 held AS (SELECT path, k, n AS size, 1 AS g FROM block WHERE k = 1
   UNION ALL SELECT b.path, b.k, CASE WHEN h.size + b.n > 512 THEN b.n ELSE h.size + b.n END, h.g + CASE WHEN h.size + b.n > 512 THEN 1 ELSE 0 END FROM held h JOIN block b ON b.path = h.path AND b.k = h.k + 1),
 chunk AS (SELECT b.path, string_agg(b.part, chr(10) || chr(10) ORDER BY b.k) AS content, min(b.line)::INT AS start_line, sum(b.n)::INT AS token_count
