@@ -13,7 +13,7 @@ whole.
 * Lines that share a word at the front meet sorted by size, so that sizes that can't match are
   never paired. What leaves a meeting isn't pairs but the lines that may match one there. A
   meeting of too many lines is held again in blocks, each pair of blocks apart.
-* Meetings that share lines are drawn together, so that near copies of one passage come to one
+* Meetings that share lines are drawn together, up to as many lines as a meeting has, so that near copies of one passage come to one
   place; whole sets are sent there, of candidate lines alone, which a bit table of bounded size
   picks out when the texts are read again (a table that fills up only spares less). Pairs are compared, counted
   and dropped at the first place that both lines come to; no pair crosses the network.
@@ -528,7 +528,14 @@ def candidates(texts: DataFrame, threshold: tuple[int, int] = THRESHOLD, meet: i
     # than front words, and a meeting at most two blocks of lines, so that no window is wide.
     least = found.distinct().withColumn("l", F.expr("min(g) over (partition by k)"))
     drawn = least.withColumn("h", F.expr("min(l) over (partition by g)"))
-    return materialise(drawn.select("k", "h").distinct(), "places")
+    places = materialise(drawn.select("k", "h").distinct(), "places")
+    large = places.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > meet).select(F.col("h").alias("_h"))
+    if large.isEmpty():
+        return places
+    # A place that would draw more lines than a meeting may have leaves its meetings where they are.
+    large = materialise(large, "large")
+    kept = drawn.join(large, F.col("h") == F.col("_h"), "left").select("k", F.when(F.col("_h").isNull(), F.col("h")).otherwise(F.col("g")).alias("h"))
+    return materialise(kept.distinct(), "places")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, meet: int = MEET) -> tuple[DataFrame, DataFrame, DataFrame]:
