@@ -48,14 +48,13 @@ SUMS, TOTALS = np.dtype([("row", "<i8"), ("n", "<u4"), ("crc", "<u4")]), np.dtyp
 
 def cuts(ids: np.ndarray, bounds: list[int]) -> list[list[int]]:
     """For each document ``ids[bounds[i]:bounds[i+1]]`` the ends of its chunks, counted from its start."""
-    n = len(ids)
-    h = np.zeros(n, np.uint64)
-    m = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    m ^= m >> np.uint64(29)
-    factor = 1
-    for j in range(min(WINDOW, n)):
-        h[j:] += m[: n - j] * np.uint64(factor)
-        factor = factor * 0xD1342543DE82EF95 % 2**64
+    h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    # The sum over a window is that over its halves; WINDOW is a power of two.
+    width, factor = 1, 0xD1342543DE82EF95
+    while width < WINDOW:
+        h[width:] += h[:-width] * np.uint64(factor)
+        width, factor = 2 * width, factor * factor % 2**64
     h *= np.uint64(0xFF51AFD7ED558CCD)
     marks = np.flatnonzero(h < np.uint64(2**64 // AVG_IDS)) + 1
     where = np.searchsorted(marks, bounds)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quern.llm.workers import held
+from quern.llm.workers import held, values
 
 #: Words and other pieces that a worker keeps (some 150 bytes each); beyond it those met once make room.
 CACHE_PIECES = 500_000
@@ -36,6 +36,8 @@ def _byte_chars() -> dict[int, str]:
 
 
 BYTE_CHARS = _byte_chars()
+#: Those beyond ASCII; the letters of ASCII stand for themselves.
+HIGH_CHARS = {b: c for b, c in BYTE_CHARS.items() if b > 127}
 
 
 def _latin(text: str) -> bool:
@@ -46,6 +48,117 @@ def _latin(text: str) -> bool:
     return True
 
 
+class Merges:
+    """Byte-pair merges of many short words at once, one merge of each in a step.
+
+    The least rank of a word goes first, the leftmost of equals, as in the library. A merge's symbol
+    takes the place of its left part, and places are linked, so that a step costs the same at any length.
+    """
+
+    #: Symbols of a word at most; longer words are left to the library. Words of about a length go together, so many at a time.
+    LIMIT, LENGTHS, WORDS = 32, (6, 10, 16, 32), 1 << 14
+    PAD, NONE = np.uint32(0xFFFF), np.int32(2**31 - 1)
+
+    def __init__(self, mid: np.ndarray, last: np.ndarray, lead: int | None, pairs: np.ndarray, made: np.ndarray):
+        self.mid, self.last, self.lead, self.made = mid, last, lead, made
+        bits = max(10, int(4 * len(pairs)).bit_length())
+        self.shift, self.mask = np.uint32(32 - bits), (1 << bits) - 1
+        # Open addressing; a key of two PADs is an empty slot.
+        self.keys, self.ranks = np.full(1 << bits, 0xFFFFFFFF, np.uint32), np.full(1 << bits, -1, np.int32)
+        todo, slot = np.arange(len(pairs)), self._slot(pairs)
+        while len(todo):
+            free = self.keys[slot[todo]] == 0xFFFFFFFF
+            self.ranks[slot[todo[free]]] = todo[free]
+            won = todo[free][self.ranks[slot[todo[free]]] == todo[free]]
+            self.keys[slot[won]] = pairs[won]
+            todo = np.setdiff1d(todo, won)
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+    @classmethod
+    def of(cls, spec: dict, lead: str):
+        """None unless every byte has a symbol and no two merges give one token, as then order is by rank alone."""
+        vocab, suffix = spec["vocab"], spec.get("end_of_word_suffix") or ""
+        if spec.get("ignore_merges") or spec.get("continuing_subword_prefix") or max(vocab.values()) >= cls.PAD:
+            return None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["merges"]]
+        mid, last = ([vocab.get(BYTE_CHARS[b] + x) for b in range(256)] for x in ("", suffix))
+        made = [vocab.get(a + b) for a, b in pairs]
+        if None in mid or None in last or None in made or len(set(made)) < len(made) or (lead and lead not in vocab):
+            return None
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
+        return cls(np.array(mid, np.uint32), np.array(last, np.uint32), vocab[lead] if lead else None, keys, np.array(made, np.uint32))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(0x9E3779B1) >> self.shift).astype(np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Each pair's rank, or -1."""
+        keys = left << np.uint32(16) | right
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.ranks[slot], np.int32(-1))
+        todo = np.flatnonzero((found != keys) & (found != 0xFFFFFFFF))
+        while len(todo):
+            at = slot[todo] = (slot[todo] + 1) & self.mask
+            found = self.keys[at]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.ranks[at[hit]]
+            todo = todo[~hit & (found != 0xFFFFFFFF)]
+        return out
+
+    def _order(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        rank = self._rank(left, right)
+        return np.where(rank < 0, self.NONE, rank * np.int32(self.LIMIT) + place.astype(np.int32))
+
+    def __call__(self, words: list[str]):
+        """Yields numbers of words with their ids, laid end to end, and how many each has; then those of words that are too long, with nothing."""
+        data = np.frombuffer("\n".join(words).encode(), np.uint8)
+        ends = np.append(np.flatnonzero(data == 10), len(data))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        size = ends - starts + (self.lead is not None)
+        low = 0
+        for high in self.LENGTHS:
+            some = np.flatnonzero((size > low) & (size <= high))
+            low = high
+            for at in range(0, len(some), self.WORDS):
+                part = some[at : at + self.WORDS]
+                yield (part, *self._merge(data, starts[part], ends[part], high))
+        yield np.flatnonzero(size > low), None, None
+
+    def _merge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        n, k, first = ends - starts, len(starts), int(self.lead is not None)
+        # A row a place, a column a word; the row after the last stands for what is before and behind a word.
+        symbols = np.full((rows + 1, k), self.PAD, np.uint32)
+        if first:
+            symbols[0] = self.lead
+        at = starts + np.arange(rows - first)[:, None]
+        symbols[first:rows] = np.where(at < ends, self.mid[data[np.minimum(at, len(data) - 1)]], self.PAD)
+        symbols[first + n - 1, np.arange(k)] = self.last[data[ends - 1]]
+        order = np.full((rows + 1, k), self.NONE, np.int32)
+        order[: rows - 1] = self._order(symbols[: rows - 1].ravel(), symbols[1:rows].ravel(), np.repeat(np.arange(rows - 1), k)).reshape(-1, k)
+        behind = np.repeat(np.arange(1, rows + 2, dtype=np.int32)[:, None], k, axis=1)
+        before = np.repeat(np.arange(-1, rows, dtype=np.int32)[:, None], k, axis=1)
+        before[0] = rows
+        flat, ranked, behind, before = symbols.ravel(), order.ravel(), behind.ravel(), before.ravel()
+        while True:
+            best = order.min(axis=0)
+            word = np.flatnonzero(best != self.NONE)
+            if not len(word):
+                break
+            best = best[word]
+            place = best & (self.LIMIT - 1)
+            here = place * k + word
+            gone = behind[here] * k + word
+            after, ahead = behind[gone], before[here]
+            flat[here], flat[gone], ranked[gone] = self.made[best // self.LIMIT], self.PAD, self.NONE
+            behind[here], before[after * k + word] = after, place
+            left, now = flat[ahead * k + word], flat[here]
+            new = self._order(np.concatenate([now, left]), np.concatenate([flat[after * k + word], now]), np.concatenate([place, ahead]))
+            ranked[here], ranked[ahead * k + word] = new[: len(word)], new[len(word) :]
+        kept = symbols[:rows] != self.PAD
+        return symbols[:rows].T[kept.T], kept.sum(axis=0)
+
+
 class PieceEncoder:
     """The ids that the library gives with ``add_special_tokens=False``.
 
@@ -59,7 +172,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_pieces = cache_pieces
-        self.merges, self.lead, self.fold, self.added = self._direct(path, self.tokenizer)
+        self.merges, self.lead, self.fold, self.added, self.short, self.drops = self._direct(path, self.tokenizer)
         self.widths = self._widths() if self.merges is not None else None
         self._reset()
 
@@ -73,27 +186,30 @@ class PieceEncoder:
 
     @staticmethod
     def _direct(path: str, tokenizer):
-        """The merges alone, what stands before a word, whether letters are lower-cased, and the
-        added tokens; no merges if the tokenizer isn't of one of the two kinds that are known."""
+        """The merges alone, what stands before a word, whether letters are lower-cased, the
+        added tokens, the merges of short words if they can be had, and whether a line break is read as a space;
+        no merges if the tokenizer isn't of one of the two kinds that are known."""
         from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         if spec["model"]["type"] != "BPE" or spec["model"].get("dropout"):
-            return None, "", False, ()
+            return None, "", False, (), None, False
         # Added tokens are looked for in the text as it stands, so that a text without one can be told.
         added = tuple(x["content"] for x in spec.get("added_tokens") or ())
         if any(norm and x.get("normalized") for x in spec.get("added_tokens") or ()):
-            return None, "", False, ()
+            return None, "", False, (), None, False
         lower = bool(norm) and any(n["type"] == "Lowercase" for n in norm.get("normalizers", [norm]))
         byte_level = norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         word_ends = lower and bool(spec["model"].get("end_of_word_suffix")) and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
         if not (byte_level or word_ends):
-            return None, "", False, ()
+            return None, "", False, (), None, False
         bare = Tokenizer(tokenizer.model)  # the same merges in memory
         bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
-        return bare, "\u0120" if byte_level else "", lower, added
+        lead = "\u0120" if byte_level else ""
+        drops = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} in (norm or {}).get("normalizers", [norm])
+        return bare, lead, lower, added, Merges.of(spec["model"], lead), drops
 
     def _reset(self) -> None:
         self.index: dict[str | tuple, int] = {}  # words and other pieces; (marks,); ("", first piece)
@@ -146,12 +262,20 @@ class PieceEncoder:
     def _learn(self, words: list[str], pieces: list[str], marks: list[tuple], heads: list[tuple]) -> None:
         """Encode what is new. ``words`` are pre-tokens by themselves and go straight to the merges; others take the whole way."""
         index, rest, breaks = self.index, [], []
+        if self.short and words:
+            for some, ids, n in self.short(words):
+                part = [words[i] for i in some.tolist()]
+                if ids is None:
+                    words = part
+                else:
+                    self._add(part, ids, n)
         for at in range(0, len(words), 4000):
             part = words[at : at + 4000]
-            laid = ("\n" + self.lead).join(part)
+            laid = "\n".join(part)
             if not laid.isascii():
-                laid = ("\n" + self.lead).join(c if c.isascii() else c.encode().decode("latin-1").translate(BYTE_CHARS) for c in part)
-            laid = self.lead + laid
+                laid = laid.encode().decode("latin-1").translate(HIGH_CHARS)
+            if self.lead:
+                laid = self.lead + laid.replace("\n", "\n" + self.lead)
             ids = np.array(self.merges.encode_batch_fast([laid], add_special_tokens=False)[0].ids, np.uint32)
             # The tokens' widths say where each word ends: at the line breaks, which have no token.
             breaks_at = np.flatnonzero(np.frombuffer(laid.encode("utf-32-le"), np.uint32) == 10)
@@ -196,13 +320,13 @@ class PieceEncoder:
         # A text with an added token, or with one once lower-cased, goes to the library as it stands.
         special = {i: t for i, (t, u) in enumerate(zip(texts, low)) if t and any(x in t or x in u for x in self.added)}
         texts = ["" if i in special else u for i, u in enumerate(low)] if special else low
-        # A single line break between words begins a piece of its own: no pre-token spans it.
-        cut = pc.split_pattern(pa.array([t.replace("\n", " \n") if t else "" for t in texts], pa.large_string()), " ")
-        # Arrow numbers the different pieces, so that each is looked up once.
+        # A single line break between words begins a piece of its own, as no pre-token spans it, or is as good as a space.
+        line = " " if self.drops else " \n"
+        cut = pc.split_pattern(pa.array([t.replace("\n", line) if t else "" for t in texts], pa.large_string()), " ")
+        # Arrow numbers the different pieces, and the different words in them, so that each is looked up once.
         coded = cut.flatten().dictionary_encode()
         code, found = coded.indices.to_numpy(), coded.dictionary
         bounds = cut.offsets.to_numpy()
-        pieces = found.to_numpy(zero_copy_only=False)
         # A Latin word, alone or before marks, is a pre-token by itself. The merges don't lower-case, so
         # that capitals (of texts beyond Latin-1) take the whole way.
         cores = pc.ascii_rtrim(found, MARKS)
@@ -212,22 +336,28 @@ class PieceEncoder:
             word[other] = pc.match_substring_regex(cores.take(pa.array(other)), LATIN).to_numpy(zero_copy_only=False)
         if self.fold:
             word &= pc.equal(pc.utf8_lower(cores), cores).to_numpy(zero_copy_only=False)
-        core = cores.to_numpy(zero_copy_only=False)
-        keys = np.where(word, core, pieces).tolist()
-        tail = np.flatnonzero(word & (pc.binary_length(cores).to_numpy() < pc.binary_length(found).to_numpy()))
-        marks = [(p[len(c) :],) for p, c in zip(pieces[tail].tolist(), core[tail].tolist())]
+        looked = pc.if_else(pa.array(word), cores, found).dictionary_encode()
+        key_of, keys = looked.indices.to_numpy(), values(looked.dictionary)
+        is_word = np.zeros(len(keys), bool)
+        is_word[key_of] = word
+        size, core_size = pc.binary_length(found).to_numpy(), pc.binary_length(cores).to_numpy()
+        tail = np.flatnonzero(word & (core_size < size))
+        tails = _ends_of(found, tail, (size - core_size)[tail]).dictionary_encode()
+        marks = [(m,) for m in values(tails.dictionary)]
         # The first piece has no space before it, which matters to byte-level tokenizers.
-        heads = [("", p) for p in pieces[code[bounds[:-1]]].tolist()] if self.lead else []
+        heads = [("", p) for p in values(found.take(pa.array(code[bounds[:-1]])))] if self.lead else []
         k = np.fromiter(map(self.index.get, keys, repeat(-2)), np.int64, len(keys))
         missing = np.flatnonzero(k == -2)
-        new = word[missing]
         lost = lambda some: [x for x in dict.fromkeys(some) if x not in self.index]
-        absent = [keys[i] for i in missing.tolist()]
-        self._learn(list(dict.fromkeys(x for x, w in zip(absent, new.tolist()) if w)), [x for x, w in zip(absent, new.tolist()) if not w], lost(marks), lost(heads))
+        absent, new = [keys[i] for i in missing.tolist()], is_word[missing].tolist()
+        self._learn([x for x, w in zip(absent, new) if w], [x for x, w in zip(absent, new) if not w], lost(marks), lost(heads))
         k[missing] = np.fromiter(map(self.index.__getitem__, absent), np.int64, len(absent))
+        known = k >= 0
+        self.hits[k[known]] += np.bincount(key_of, np.bincount(code, minlength=len(found)), len(k))[known].astype(np.int32)
+        k = k[key_of]
         # The ids of each different piece: its word's and its marks'; then of each different head.
         after = np.zeros(len(k), np.int64)
-        after[tail] = [self.index[m] for m in marks]
+        after[tail] = np.array([self.index[m] for m in marks], np.int64)[tails.indices.to_numpy()]
         at_head = np.array([self.index[h] for h in heads], np.int64)
         first = np.concatenate([k, at_head])
         after = np.concatenate([after, np.zeros(len(at_head), np.int64)])
@@ -235,8 +365,6 @@ class PieceEncoder:
         table, n = self._gather(np.stack([np.where(safe, first, 0), np.where(safe, after, 0)], axis=1).ravel())
         n = n.reshape(-1, 2).sum(1)
         starts = np.cumsum(n) - n
-        known = k >= 0
-        np.add.at(self.hits, k[known], np.bincount(code, minlength=len(k))[known].astype(np.int32))
         for x in {x for x in absent if len(x) > KEEP_CHARS} | {m for m in marks if len(m[0]) > KEEP_CHARS} | {h for h in heads if len(h[1]) > KEEP_CHARS}:
             del self.index[x]
         if self.lead:
@@ -261,6 +389,15 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], np.uint32)
 
 
+def _ends_of(texts: pa.Array, which: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The last ``n`` bytes of some texts (large_string)."""
+    _, offsets, data = texts.buffers()
+    stop = np.frombuffer(offsets, np.int64)[texts.offset + 1 + which]
+    ends = np.cumsum(n.astype(np.int64))
+    flat = np.frombuffer(data, np.uint8)[np.repeat(stop - ends, n) + np.arange(int(ends[-1]) if len(ends) else 0)] if data else np.zeros(0, np.uint8)
+    return pa.Array.from_buffers(pa.large_string(), len(which), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(flat)])
+
+
 def encoder(path: str) -> PieceEncoder:
     """One encoder for a worker's tasks."""
     return held(f"encoder {path}", lambda: PieceEncoder(path))

@@ -64,6 +64,57 @@ def test_any_text_gives_the_librarys_ids(texts):
         assert [x.tolist() for x in warm.encode(texts)] == want
 
 
+class Counted:
+    """A tokenizer that counts the texts it is given to encode."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.met = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode(self, text, **more):
+        self.met += 1 if isinstance(text, str) else len(text)
+        return self.tokenizer.encode(text, **more)
+
+    def encode_batch_fast(self, texts, **more):
+        self.met += sum(t.count("\n") + 1 for t in texts)
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_ordinary_words_are_merged_without_the_library():
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    e = PieceEncoder(P.path("word_bpe_49k.json"))
+    e.tokenizer, e.merges = Counted(e.tokenizer), Counted(e.merges)
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu\u00e9\u00df"), rng.integers(1, 13)))
+    texts = ["\n".join(", ".join(" ".join(word() for _ in range(6)) for _ in range(3)) for _ in range(20)) for _ in range(10)]
+    assert [x.tolist() for x in e.encode(texts)] == [ids_of(tokenizer, t) for t in texts]
+    assert e.tokenizer.met + e.merges.met <= 2  # the mark, and not one of some 3,600 words and 200 line breaks
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(st.sampled_from("abehinost"), min_size=1, max_size=40), st.text(st.sampled_from("aAzZ\u00aa\u00c3\u00df\u00e9\u0101\u012f"), min_size=1, max_size=40)), min_size=1, max_size=30, unique=True))
+def test_merges_of_short_words(words):
+    from quern.llm.pieces import BYTE_CHARS
+
+    for name in NAMES:
+        if name not in WARM:
+            WARM[name] = Tokenizer.from_file(P.path(name)), PieceEncoder(P.path(name), cache_pieces=300)
+        e, left = WARM[name][1], set(range(len(words)))
+        for some, ids, n in e.short(words):
+            at = 0
+            for i, k in zip(some.tolist(), [None] * len(some) if n is None else n.tolist()):
+                left.remove(i)
+                if k is None:
+                    assert len(words[i].encode()) + len(e.lead) > e.short.LIMIT
+                    continue
+                byte_chars = e.lead + "".join(BYTE_CHARS[b] for b in words[i].encode())
+                assert ids[at : at + k].tolist() == [t.id for t in e.merges.model.tokenize(byte_chars)]
+                at += k
+        assert not left
+
+
 def test_other_tokenizers_take_whole_texts(tmp_path):
     from tokenizers import models
 
@@ -167,6 +218,23 @@ def test_chunks_follow_content():
     assert merkle_root([b"a", b"b", b"c"]) != merkle_root([b"a", b"c", b"b"])
 
 
+def test_cuts_are_where_a_windows_sum_meets_the_mask():
+    from quern.llm.op04_store import AVG_IDS, MAX_IDS, MIN_IDS, WINDOW
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 3, 7, 8, 9, 5000):
+        ids, wrap = rng.integers(0, 300, n).astype(np.uint32), 2**64 - 1
+        mixed = [(x + 1) * 0x9E3779B97F4A7C15 & wrap for x in ids.tolist()]
+        mixed = [x ^ x >> 29 for x in mixed]
+        want, last = [], 0
+        for i in range(n):
+            h = sum(mixed[i - j] * 0xD1342543DE82EF95**j for j in range(min(WINDOW, i + 1))) * 0xFF51AFD7ED558CCD & wrap
+            if i + 1 - last == MAX_IDS or (i + 1 - last >= MIN_IDS and h < 2**64 // AVG_IDS) or i + 1 == n:
+                last = i + 1
+                want.append(last)
+        assert cuts(ids, [0, n]) == [want]
+
+
 def test_shared_passages_hold_whole_chunks():
     rng = np.random.default_rng(4)
     some = lambda n: rng.integers(0, 50000, n).astype(np.uint32)
