@@ -168,3 +168,37 @@ def test_overlap_holds_every_vector(spark, tmp_path):
     first = {i: n for n, i in enumerate(sorted(out, key=lambda i: (-out[i].vector_score, i)), 1)}
     second = {i: n for n, i in enumerate(sorted(out, key=lambda i: (-out[i].bm25_score, i)), 1)}
     assert all(abs(x.fused_score - 0.7 / (60 + first[i]) - 0.3 / (60 + second[i])) < 1e-6 for i, x in out.items())
+
+
+def test_a_document_that_comes_again_without_terms(spark, tmp_path):
+    """Its older terms go: 'of' backwards is a term, forwards it is none."""
+    from quern.plans.catalog import QUERIES
+
+    rows = [(1, "of", "en", "src2"), (2, "user token user", "en", "src2"), (3, "kept words", "en", "src1"), (4, None, "en", "src9")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["incremental_equals_full"](spark, str(tmp_path)).collect()))
+    assert got == [(2, "token", 1), (2, "user", 2), (3, "kept", 1), (3, "words", 1)]
+    old, fresh = (spark.createDataFrame(x, "term string, id string, tf int") for x in ([("fo", "a", 1), ("new", "b", 1)], [("user", "c", 1)]))
+    assert sorted(r.id for r in bm25.add(old, fresh, spark.createDataFrame([("a",), ("c",)], "id string")).collect()) == ["b", "c"]
+
+
+TEXTS = ["getUserName aBcD ABc", "snake_case_9x user user", "The a x HTTPServer café straßeNameÜber Ab", "", None, "of the", "ab AB aB\n\nab\ttoken", "x" * 5000 + " y9 " * 700]
+
+
+def test_texts_are_counted_where_they_lie(spark, monkeypatch):
+    """As by exploded terms, whatever the slices; nothing is shuffled."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id int, content string").coalesce(1)
+    want = sorted(map(tuple, bm25.postings(bm25.tokens(df)).select("term", "id", "tf").collect()))
+    long = sorted(map(tuple, bm25.lengths(df).collect()))
+    for most in (1, 40, bm25.SLICE):
+        monkeypatch.setattr(bm25, "SLICE", most)
+        docs = bm25.counted(df)
+        assert sorted(map(tuple, bm25.unfold(docs).collect())) == want and sorted(map(tuple, docs.select("id", "dl").collect())) == long
+    assert "Exchange" not in bm25.unfold(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    df = spark.createDataFrame([("a", "user of"), ("a", "User token"), ("b", None), ("a", None), (None, "x1"), (None, "x1")], "id string, content string")
+    want = sorted(map(str, bm25.postings(bm25.tokens(df)).select("term", "id", "tf").collect()))
+    docs = bm25.counted(df)
+    assert sorted(map(str, bm25.unfold(docs).collect())) == want and docs.count() == 3
