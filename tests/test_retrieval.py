@@ -202,3 +202,15 @@ def test_rows_of_one_id_are_one_document(spark):
     want = sorted(map(str, bm25.postings(bm25.tokens(df)).select("term", "id", "tf").collect()))
     docs = bm25.counted(df)
     assert sorted(map(str, bm25.unfold(docs).collect())) == want and docs.count() == 3
+
+
+def test_documents_are_deleted_before_their_terms_are_listed(spark, tmp_path):
+    """What is joined is a row a document, not a row a posting."""
+    from quern.plans.catalog import QUERIES
+
+    rows = [(1, "user token user", "en", "src4"), (2, "user words", "en", "src1"), (3, "user", "en", "src4")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["delete_by_file"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [("user", 1, 1), ("words", 1, 1)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("LeftAnti")  # nearer the result
