@@ -216,3 +216,20 @@ def test_tokens(tmp_path):
 @pytest.mark.parametrize("name", ["a.rst", "a.txt", "noext"])
 def test_dispatch(name):
     assert chunk_bytes(b"some plain words of text", name, SMALL)[0].chunk_type == "unknown"
+
+
+def test_a_worker_sends_chunks_on_as_they_come(monkeypatch):
+    """What it holds doesn't grow with its batch of files."""
+    import pyarrow as pa
+
+    from quern.chunkers import dispatch
+
+    body = "\n\n".join(f"# Part {i}\n\nsome words of text" for i in range(20)).encode()
+    files = pa.RecordBatch.from_pydict({"file_path": [f"f{i}.md" for i in range(30)] + ["broken.pdf"], "content": [body] * 30 + [b"%PDF-1.4"]})
+    whole = [x for b in dispatch.chunk_batches([files], Chunking(min_tokens=1)) for x in b.to_pylist()]
+    assert len(whole) == 601 and whole[-1]["error"] and whole[0]["error"] is None and dict(whole[0]["metadata"])["header_level"] == "1"
+    for held, rows in ((1 << 20, 25), (200, 1000)):
+        monkeypatch.setattr(dispatch, "HELD", held)
+        monkeypatch.setattr(dispatch, "ROWS", rows)
+        made = list(dispatch.chunk_batches([files, files], Chunking(min_tokens=1)))
+        assert max(b.num_rows for b in made) <= 25 and [x for b in made for x in b.to_pylist()] == whole * 2
