@@ -13,7 +13,7 @@ from quern.config import Config
 from quern.functions.embed import embed_chunks
 from quern.operators import bm25
 from quern.operators.changes import changes
-from quern.session import Scratch
+from quern.session import Scratch, release
 from quern.sources.scan import read_files, scan
 from quern.store import Store
 
@@ -28,11 +28,11 @@ def build(spark: SparkSession, store: Store, files: DataFrame, config: Config, f
     All tables change together, when the new generation is complete.
     """
     with Scratch(spark) as scratch:
-        return _build(scratch.table, store, files, config, full, contents, partial)
+        return _build(scratch, store, files, config, full, contents, partial)
 
 
-def _build(table: Callable[[DataFrame, str], DataFrame], store: Store, files: DataFrame, config: Config, full: bool, contents, partial: bool) -> dict:
-    began = time.time()
+def _build(scratch: Scratch, store: Store, files: DataFrame, config: Config, full: bool, contents, partial: bool) -> dict:
+    began, table = time.time(), scratch.table
     here = files.where("hash is not null")
     if contents is None:
         here = table(here, "files")
@@ -49,25 +49,30 @@ def _build(table: Callable[[DataFrame, str], DataFrame], store: Store, files: Da
     # Chunks and errors come from one pass.
     both = table(chunk_rows(picked, config.chunking), "chunks")
     made, errors = chunks_of(both), errors_of(both)
+    # Texts lie on the disk once at a time, besides what is on its way.
+    read = table(picked.select("file_path", "hash", "file_size_bytes"), "read")
+    scratch.drop("files", "contents")
+    release(store.spark)
     cache = store.read("cache")
     keyed, new = embed_chunks(made, cache, config.embedding)
     new = table(new, "vectors")
     own = cache.where((F.col("model") == config.embedding.model) & (F.col("dimensions") == config.embedding.dimensions))
+    release(store.spark)
     vectors = own.unionByName(new).select("content_hash", "vector")
-    fresh = table(store.check_vectors(keyed.join(vectors, "content_hash", "left").drop("content_hash")), "stored")
-    per_file = fresh.groupBy("file_path").agg(F.count("*").cast("int").alias("chunk_count"))
-    rows = picked.select("file_path", "hash", "file_size_bytes").join(per_file, "file_path", "left").select("file_path", "hash", F.current_timestamp().alias("last_indexed"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "file_size_bytes")
+    fresh = store.check_vectors(keyed.join(vectors, "content_hash", "left").drop("content_hash"))
+    per_file = made.groupBy("file_path").agg(F.count("*").cast("int").alias("chunk_count"))
+    rows = read.join(per_file, "file_path", "left").select("file_path", "hash", F.current_timestamp().alias("last_indexed"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "file_size_bytes")
     # A file that failed is tried again next time.
     rows = rows.join(errors.select("file_path"), "file_path", "left_anti")
     if full:
-        tables = {"chunks": fresh, "manifest": rows, "cache": own.unionByName(new)} | store.keyword_tables(fresh.select("id", "content"))
+        tables = {"chunks": fresh, "manifest": rows, "cache": own.unionByName(new)} | store.keyword_tables(made.select("id", "content"), table)
         store.write(tables)
     else:
         left = diff.where("change != 'unchanged'").select("file_path")
         old = store.read("chunks").select("id", "file_path")
         ids = table(old.join(left, "file_path", "left_semi").select(F.col("id").alias("key")), "gone")
         more, tables = {"chunks": fresh, "manifest": rows, "cache": new}, {}
-        part = store.keyword_tables(fresh.select("id", "content"))
+        part = store.keyword_tables(made.select("id", "content"), table)
         if store.known("postings") and store.known("docs"):
             more |= {n: part[n] for n in ("postings", "docs")}
             docs = store.read("docs").join(ids.withColumnRenamed("key", "id"), "id", "left_anti").unionByName(part["docs"])
@@ -75,7 +80,7 @@ def _build(table: Callable[[DataFrame, str], DataFrame], store: Store, files: Da
         else:
             # Chunks without a keyword index: it is made from all of them.
             kept = store.read("chunks").join(left, "file_path", "left_anti")
-            tables |= store.keyword_tables(kept.select("id", "content").unionByName(fresh.select("id", "content")))
+            tables |= store.keyword_tables(kept.select("id", "content").unionByName(made.select("id", "content")), table)
         store.write(tables, more, {"id": ids, "file_path": left.withColumnRenamed("file_path", "key")})
         store.compact()
     return {

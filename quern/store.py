@@ -7,11 +7,13 @@ write that dies at any point leaves the old one. An update adds segments of what
 the rows of older segments that are gone; a reader leaves those out. When segments become many
 they are written as one.
 
-    chunks     the stored chunks with vectors, by id_bucket; postings  term, id, tf, dl by term_bucket
+    chunks     the stored chunks with vectors, by id_bucket; postings  term, n, id, tf, dl by term_bucket
+    names      n, id of a segment's postings
     docs       id, dl; stats  n_docs, total_len; manifest; cache; gone  key
 
-A posting has its document's length, so that a keyword search reads the postings of its terms and one row of
-sums, and nothing else of the corpus. Whole chunks are read last, for the hits alone, from their buckets.
+An id is 71 bytes that don't compress to half of that, and would be most of the index: a posting has a hash n of it instead, and the id
+itself only where two of a segment's ids have the same n. Readers get ids. A posting has its document's length, so that a keyword search reads the postings of its terms and one row of
+sums, and the names of its hits. Whole chunks are read last, for the hits alone, from their buckets.
 """
 
 from __future__ import annotations
@@ -20,25 +22,30 @@ import json
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern import schema
 from quern.errors import IndexingError
 from quern.operators import bm25
-from quern.session import remove
+from quern.session import materialise, release, remove
 
 #: Buckets of the postings by term, and of the chunks by id; segments of a table beyond which an update writes it as one.
 TERM_BUCKETS, ID_BUCKETS, SEGMENTS = 64, 64, 8
+#: Documents up to which an update writes its postings as one file.
+FEW = 64
 _SCHEMAS = {"chunks": schema.STORED, "manifest": schema.MANIFEST, "cache": schema.CACHE}
 _POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("id", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType())])
 _DOCS = T.StructType([T.StructField("id", T.StringType()), T.StructField("dl", T.IntegerType())])
 _STATS = T.StructType([T.StructField("n_docs", T.LongType()), T.StructField("total_len", T.LongType())])
 _SCHEMAS |= {"postings": _POSTINGS, "docs": _DOCS, "stats": _STATS}
+#: Postings as they lie in files.
+_STORED_POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType()), T.StructField("id", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType())])
 #: Columns by whose values a table's files lie in folders.
 _FOLDERS = {"postings": ("term_bucket", "term", TERM_BUCKETS), "chunks": ("id_bucket", "id", ID_BUCKETS)}
 #: By which column rows of a table are named as gone.
@@ -46,6 +53,11 @@ _KEYS = {"chunks": "id", "postings": "id", "docs": "id", "manifest": "file_path"
 _NAMES = re.compile(r"(?:gen-|pointer-)(\d+)(?:\.json)?")
 
 
+def number(c: Column) -> Column:
+    """What stands for an id in postings."""
+    return F.xxhash64(c)
+
+
 def bucket(value: str, buckets: int) -> int:
     return zlib.crc32(value.encode()) % buckets
 
@@ -95,31 +107,43 @@ class Store:
         segments = now["tables"].get(table)
         own = _SCHEMAS[table]
         where = F.lit(True)
-        full = own
+        full = lies = _STORED_POSTINGS if table == "postings" else own
         if table in _FOLDERS:
             folder, column, n = _FOLDERS[table]
-            full = T.StructType([*own.fields, T.StructField(folder, T.IntegerType())])
+            full = T.StructType([*lies.fields, T.StructField(folder, T.IntegerType())])
             if among is not None:
                 where = F.col(folder).isin(*{bucket(x, n) for x in among}) & F.col(column).isin(*set(among)) if among else F.lit(False)
         if not segments:
             return self.spark.createDataFrame([], own)
         key, out = _KEYS.get(table), None
         # Segments to which the same rows are gone are read together.
-        by_gone: dict[tuple, list[str]] = {}
+        by_gone: dict[tuple, list[tuple[int, str]]] = {}
         for generation, folder in segments:
-            by_gone.setdefault(tuple(f for g, f in now["gone"].get(key, []) if g > generation), []).append(f"{self.path}/{folder}")
+            by_gone.setdefault(tuple(f for g, f in now["gone"].get(key, []) if g > generation), []).append((generation, f"{self.path}/{folder}"))
         for gone, folders in by_gone.items():
             # One by one, so that each folder's partition column is read from its own root.
             part = None
-            for folder in folders:
-                df = self.spark.read.schema(full).parquet(folder).where(where).select(*own.fieldNames())
+            for generation, folder in folders:
+                df = self.spark.read.schema(full).parquet(folder).where(where).select(*lies.fieldNames(), F.lit(generation).alias("_g"))
                 part = df if part is None else part.unionByName(df)
+            if table == "postings":
+                part = self._named(part, now, {g for g, _ in folders})
+            part = part.select(*own.fieldNames())
             if gone:
                 left = self.spark.read.schema("key string").parquet(*[f"{self.path}/{f}" for f in gone])
                 part = part.join(left.withColumnRenamed("key", key), key, "left_anti").select(*own.fieldNames())
             out = part if out is None else out.unionByName(part)
         return out
 
+    def _named(self, part: DataFrame, now: dict, generations: set[int]) -> DataFrame:
+        """Postings of some segments (with _g, theirs) with their ids."""
+        names = None
+        for generation, folder in now["tables"].get("names", []):
+            if generation in generations:
+                df = self.spark.read.schema("n long, _id string").parquet(f"{self.path}/{folder}").withColumn("_g", F.lit(generation))
+                names = df if names is None else names.unionByName(df)
+        return part if names is None else part.join(names, ["_g", "n"], "left").withColumn("id", F.coalesce("id", "_id"))
+
     def query_postings(self, terms: list[str]) -> DataFrame:
         """The postings of a query's terms."""
         return self.read("postings", list(terms))
@@ -133,39 +157,68 @@ class Store:
         whose column (id or file_path) is in ``gone`` (a column ``key``). Returns its number."""
         now = self.pointer()
         # Not from the pointer alone: what a write that died has left is never written over.
-        number = 1 + max([0, *(int(m[1]) for n in self._names() if (m := _NAMES.fullmatch(n)))])
-        folder = f"gen-{number}"
+        at_generation = 1 + max([0, *(int(m[1]) for n in self._names() if (m := _NAMES.fullmatch(n)))])
+        folder = f"gen-{at_generation}"
+
+        parts_of = {**tables, **(more or {})}
+        # Without the documents of the postings each posting keeps its id.
+        short = "postings" in parts_of and "docs" in parts_of
+        shared: list[int] = []
+        few = False
+        if short:
+            few = "postings" in (more or {}) and len(parts_of["docs"].head(FEW + 1)) <= FEW
+            docs = parts_of["docs"].select(number(F.col("id").cast("string")).alias("n"), F.col("id").cast("string").alias("_id"))
+            shared = [r["n"] for r in docs.groupBy("n").count().where("count > 1").collect()]  # of 10^7 ids, none but once in 10^5 times
+            docs = docs.where(~F.col("n").isin(shared)) if shared else docs
 
         def put(name: str, df: DataFrame) -> None:
             out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[name].fields])
             at = f"{self.path}/{folder}/{name}"
+            if name == "postings":
+                out = out.withColumn("n", number(F.col("id")))
+                if shared:
+                    out = out.withColumn("id", F.when(F.col("n").isin(shared), F.col("id")))
+                elif short:
+                    out = out.drop("id")  # read as nulls
             if name in _FOLDERS:
                 by, column, n = _FOLDERS[name]
                 out = out.withColumn(by, F.pmod(F.crc32(column), F.lit(n)).cast("int"))
                 parts = 1 + int(self.spark.conf.get("spark.sql.shuffle.partitions")) // n if name in tables else 1
-                # Sorted, so that row groups are skipped by their least and largest.
-                spread = out.repartition(F.col(by), F.pmod(F.xxhash64("id", column), F.lit(parts)))
-                spread.sortWithinPartitions(by, column).write.partitionBy(by).parquet(at)
+                # Sorted, so that row groups are skipped by their least and largest; a document's rows of a bucket stay together.
+                own = "n" if name == "postings" else "id"
+                if few and name == "postings":
+                    # One file, which has the bucket as a column, instead of one for nearly each term.
+                    out.repartition(1).sortWithinPartitions(by, column, own).write.option("compression", "zstd").parquet(at)
+                    return
+                spread = out.repartition(F.col(by), F.pmod(F.xxhash64(own), F.lit(parts)))
+                spread.sortWithinPartitions(by, column, own).write.option("compression", "zstd").partitionBy(by).parquet(at)
             else:
-                out.write.parquet(at)
+                out.write.option("compression", "zstd").parquet(at)
 
         old = {c: list(x) for c, x in now["gone"].items()}
-        # The tables don't wait for each other.
+        # The chunks come first, so that their shuffle's files are gone when the postings' come; the others don't wait for each other.
+        if "chunks" in parts_of:
+            put("chunks", parts_of["chunks"])
+            release(self.spark)
         with ThreadPoolExecutor(4) as pool:
-            jobs = [pool.submit(put, name, df) for name, df in {**tables, **(more or {})}.items()]
+            jobs = [pool.submit(put, name, df) for name, df in parts_of.items() if name != "chunks"]
+            if short:
+                jobs.append(pool.submit(docs.write.option("compression", "zstd").parquet, f"{self.path}/{folder}/names"))
             for column, df in (gone or {}).items():
                 jobs.append(pool.submit(df.select(F.col("key").cast("string")).write.parquet, f"{self.path}/{folder}/gone-{column}"))
-                old.setdefault(column, []).append([number, f"{folder}/gone-{column}"])
+                old.setdefault(column, []).append([at_generation, f"{folder}/gone-{column}"])
             for job in jobs:
                 job.result()
-        named = now["tables"] | {n: [[number, f"{folder}/{n}"]] for n in tables}
+        named = now["tables"] | {n: [[at_generation, f"{folder}/{n}"]] for n in tables}
         for n in more or {}:
-            named[n] = [*named.get(n, []), [number, f"{folder}/{n}"]]
+            named[n] = [*named.get(n, []), [at_generation, f"{folder}/{n}"]]
+        if "postings" in parts_of:
+            named["names"] = [*(named.get("names", []) if "postings" not in tables else []), *([[at_generation, f"{folder}/names"]] if short else [])]
         # What is gone matters to older segments alone.
-        first = {c: min((g for n, k in _KEYS.items() if k == c for g, _ in named.get(n, [])), default=number) for c in old}
+        first = {c: min((g for n, k in _KEYS.items() if k == c for g, _ in named.get(n, [])), default=at_generation) for c in old}
         old = {c: kept for c, x in old.items() if (kept := [[g, f] for g, f in x if g > first[c]])}
-        self._point({"generation": number, "tables": named, "gone": old})
-        return number
+        self._point({"generation": at_generation, "tables": named, "gone": old})
+        return at_generation
 
     def _point(self, pointer: dict) -> None:
         name = f"pointer-{pointer['generation']:012d}.json"
@@ -179,7 +232,9 @@ class Store:
     def compact(self, most: int = SEGMENTS) -> bool:
         """Write tables of more than ``most`` segments as one; True if there were any."""
         now = self.pointer()
-        many = [n for n, s in now["tables"].items() if len(s) > most]
+        many = [n for n, s in now["tables"].items() if len(s) > most and n != "names"]
+        if {"postings", "docs"} & {*many}:  # they are written together, as postings get their names from the documents
+            many = [*{*many} | {"postings", "docs"} & {*now["tables"]}]
         if many:
             self.write({n: self.read(n) for n in many})
         return bool(many)
@@ -213,10 +268,11 @@ class Store:
         ok = F.col("vector").isNotNull() & (F.size("vector") > 0)
         return chunks.withColumn("vector", F.when(ok, F.col("vector")).otherwise(F.raise_error(F.concat(F.lit("no vector for "), F.col("id"))).cast("array<float>")))
 
-    def keyword_tables(self, chunks: DataFrame) -> dict[str, DataFrame]:
-        """Postings, lengths and sums of ``chunks``, as a bootstrap from stored chunks makes them."""
-        docs = bm25.lengths(chunks)
-        return {"postings": bm25.postings(bm25.tokens(chunks)).join(docs, "id"), "docs": docs, "stats": bm25.corpus_stats(docs)}
+    def keyword_tables(self, chunks: DataFrame, table: Callable[[DataFrame, str], DataFrame] = materialise) -> dict[str, DataFrame]:
+        """Postings, lengths and sums of ``chunks``, whose ids differ, as a bootstrap from stored chunks makes them. ``table`` writes the lengths, a narrow table."""
+        made = bm25.counted(chunks, unique=True)
+        docs = table(made.select("id", "dl"), "lengths")
+        return {"postings": bm25.unfold(made, "dl"), "docs": docs, "stats": bm25.corpus_stats(docs)}
 
 
 def language_histogram(chunks: DataFrame) -> DataFrame:

@@ -272,3 +272,31 @@ def test_cache_spares_calls(spark):
     assert embed.embed_chunks(chunks, new, s)[1].count() == 0
     assert embed.embed_chunks(chunks, new, cfg.Embedding(dimensions=4, document_prefix="d: "))[1].count() == 2
     assert new.where(F.size("vector") != 4).count() == 0
+
+
+def test_postings_hold_a_number_for_an_id(spark, tmp_path, monkeypatch):
+    """Ids that share one keep themselves; a segment's numbers are its own, and ids that are gone and come again aren't met twice."""
+    from quern import store as st_
+
+    monkeypatch.setattr(st_, "number", lambda c: F.pmod(F.xxhash64(c), F.lit(3)))
+    monkeypatch.setattr(st_, "FEW", 2)
+    st = Store(spark, f"file://{tmp_path}/t")
+    text = lambda *ids: spark.createDataFrame([(x, f"user {x}{x} user") for x in ids], "id string, content string")
+    rows = lambda: sorted((r.term, r.id, r.tf, r.dl) for r in st.read("postings").collect())
+    want = lambda *ids: sorted(x for i in ids for x in (("user", i, 2, 3), (f"{i}{i}", i, 1, 3)))
+    new = lambda *ids: {n: df for n, df in st.keyword_tables(text(*ids)).items() if n != "stats"}
+    st.write(new("a", "b", "c", "d", "e"))
+    assert rows() == want(*"abcde")
+    st.write({}, new("b", "f", "g", "h"), {"id": spark.createDataFrame([("b",), ("c",)], "key string")})
+    st.write({}, new("c"), {"id": spark.createDataFrame([("h",)], "key string")})
+    assert rows() == want(*"abcdefg") and {r.id for r in st.query_postings(["user"]).collect()} == set("abcdefg")
+    assert st.compact(2) and rows() == want(*"abcdefg") and len(st.pointer()["tables"]["names"]) == 1
+    st.write({"postings": st.read("postings")})  # without documents: ids as they are
+    assert rows() == want(*"abcdefg") and st.pointer()["tables"]["names"] == []
+
+
+def test_an_index_is_smaller_than_its_ids_would_be(spark, tmp_path):
+    st = Store(spark, f"file://{tmp_path}/t")
+    text = spark.range(300).selectExpr("concat('sha256:', sha2(cast(id as string), 256)) as id", "concat_ws(' ', transform(sequence(1, 100), x -> concat('w', x))) as content")
+    st.write(st.keyword_tables(text))
+    assert st.read("postings").count() == 30000 and sum(p.stat().st_size for p in (tmp_path / "t").rglob("postings/**/*.parquet")) < 20 * 30000
